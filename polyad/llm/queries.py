@@ -3,13 +3,90 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from polyad.llm.cooccur import pairs_together
+from polyad.llm.frequent import frequent_items
+from polyad.llm.overlap import record_pairs, similar_sets
 from polyad.llm.tokens import encode_corpus
+from polyad.operators.records import member_records
 from polyad.plans.registry import Registry
 from polyad.plans.tables import table
 
 REGISTRY = Registry()
 
+#: One row per record and member, as p1, p2 and p4 count them.
+MEMBERS_SQL = """
+deliveries AS (SELECT edge_id, unnest(interaction) AS node FROM hg_edges WHERE edge_id IS NOT NULL),
+members AS (SELECT DISTINCT edge_id, node FROM deliveries WHERE node IS NOT NULL)"""
+PAIRS_SQL = f"""WITH {MEMBERS_SQL},
+uses AS (SELECT node, count(*) AS n FROM members GROUP BY node),
+total AS (SELECT count(DISTINCT edge_id) AS n FROM members),
+pairs AS (
+  SELECT a.node AS node_a, b.node AS node_b, count(*) AS n_both
+  FROM members a JOIN members b ON a.edge_id = b.edge_id AND a.node < b.node
+  GROUP BY 1, 2 HAVING count(*) >= 12)
+SELECT node_a, node_b{{columns}}
+FROM pairs p JOIN uses ua ON ua.node = p.node_a JOIN uses ub ON ub.node = p.node_b CROSS JOIN total t
+WHERE p.n_both * t.n >= 4 * ua.n * ub.n"""
+
+
+def _records(spark: SparkSession, folder: str) -> DataFrame:
+    return member_records(table(spark, folder, "hg_edges"))
+
+
+def _together(spark: SparkSession, folder: str) -> DataFrame:
+    pairs = pairs_together(_records(spark, folder), min_count=12)
+    above = F.col("n_both") * F.col("n_records") >= 4 * F.col("n_a") * F.col("n_b")
+    return pairs.where(above).withColumnsRenamed({"item_a": "node_a", "item_b": "node_b"})
+
+
+def _frequent(spark: SparkSession, folder: str) -> DataFrame:
+    return frequent_items(_records(spark, folder), "members", share="0.01").withColumnRenamed("item", "node")
+
+
+@REGISTRY.query(PAIRS_SQL.format(columns=""))
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _together(spark, folder).select("node_a", "node_b")
+
+
+@REGISTRY.query(PAIRS_SQL.format(columns=", n_both, round(p.n_both::DOUBLE * t.n / (ua.n::DOUBLE * ub.n), 6) AS lift"))
+def p1_lift(spark: SparkSession, folder: str) -> DataFrame:
+    return _together(spark, folder).select("node_a", "node_b", "n_both", F.round("lift", 6).alias("lift"))
+
+
+@REGISTRY.query(
+    f"""WITH {MEMBERS_SQL},
+sized AS (SELECT edge_id, count(*) AS n FROM members GROUP BY 1 HAVING count(*) >= 6),
+held AS (SELECT m.edge_id, m.node, s.n FROM members m JOIN sized s USING (edge_id)),
+met AS (
+  SELECT a.edge_id AS edge_a, b.edge_id AS edge_b, a.n AS na, b.n AS nb, count(*) AS c
+  FROM held a JOIN held b ON a.node = b.node AND a.edge_id < b.edge_id AND 10 * a.n >= 6 * b.n AND 10 * b.n >= 6 * a.n
+  GROUP BY ALL)
+SELECT edge_a, edge_b FROM met WHERE 10 * c >= 6 * (na + nb - c)"""
+)
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    classes, pairs = similar_sets(_records(spark, folder), threshold="0.6", least=6)
+    return record_pairs(classes, pairs).withColumnsRenamed({"record_a": "edge_a", "record_b": "edge_b"})
+
+
+@REGISTRY.query(
+    f"""WITH {MEMBERS_SQL}, total AS (SELECT count(*) AS n FROM members)
+SELECT node FROM members GROUP BY node HAVING count(*) * 100 >= (SELECT n FROM total)"""
+)
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _frequent(spark, folder).select("node")
+
+
+@REGISTRY.query(
+    f"""WITH {MEMBERS_SQL}, total AS (SELECT count(*) AS n FROM members)
+SELECT node, count(*) AS n_records, (SELECT n FROM total) AS n_total, true AS within
+FROM members GROUP BY node HAVING count(*) * 100 >= (SELECT n FROM total)"""
+)
+def p4_counts(spark: SparkSession, folder: str) -> DataFrame:
+    within = (F.col("estimate") >= F.col("n")) & (F.col("estimate") - F.col("error") <= F.col("n"))
+    return _frequent(spark, folder).select("node", F.col("n").alias("n_records"), F.col("total").alias("n_total"), within.alias("within"))
+
 
 @REGISTRY.query()
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
