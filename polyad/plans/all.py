@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from polyad.plans import general
 from polyad.plans.registry import Registry
 
-REGISTRIES: list[Registry] = []
+REGISTRIES: list[Registry] = [general.REGISTRY]
