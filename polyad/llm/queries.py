@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 from polyad.llm.cooccur import pairs_together
 from polyad.llm.frequent import frequent_items
 from polyad.llm.overlap import record_pairs, similar_sets
+from polyad.llm.packing import pack_documents
+from polyad.llm.repetition import fit_kneser_ney, perplexities, perplexity_bands, repeated_letters
 from polyad.llm.tokens import encode_corpus
 from polyad.operators.records import member_records
 from polyad.plans.registry import Registry
 from polyad.plans.tables import table
+from polyad.runtime import cut
 
 REGISTRY = Registry()
 
@@ -91,3 +94,27 @@ def p4_counts(spark: SparkSession, folder: str) -> DataFrame:
 @REGISTRY.query()
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode_corpus(table(spark, folder, "documents"), "byte_bpe_50k")
+
+
+@REGISTRY.query()
+def p7_packed(spark: SparkSession, folder: str) -> DataFrame:
+    return pack_documents(table(spark, folder, "documents"), table(spark, folder, "container_sizes"))
+
+
+@REGISTRY.query()
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    shares = repeated_letters(table(spark, folder, "documents"), run=24)
+    return shares.where((F.col("n_letters") >= 100) & (F.col("n_repeated") * 10 >= F.col("n_letters") * 3)).select("doc_id")
+
+
+@REGISTRY.query()
+def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
+    shares = repeated_letters(table(spark, folder, "documents"), run=24)
+    share = F.when(F.col("n_letters") > 0, F.col("n_repeated") / F.col("n_letters")).otherwise(F.lit(0.0))
+    return shares.select("doc_id", "n_letters", "n_repeated", F.round(share, 6).alias("share"))
+
+
+@REGISTRY.query()
+def p8_perplexity(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    return perplexity_bands(cut(perplexities(documents, fit_kneser_ney(documents))))
