@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from polyad.plans import general
+from polyad.plans import general, structure
 from polyad.plans.registry import Registry
 
-REGISTRIES: list[Registry] = [general.REGISTRY]
+REGISTRIES: list[Registry] = [general.REGISTRY, structure.REGISTRY]
