@@ -5,16 +5,21 @@ Loops run on tables: every round is cut, so plans stay short and a lost executor
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from polyad.errors import InvalidParameterError
 from polyad.operators.edges import by_size, node_table
 from polyad.operators.projections import node_pairs
-from polyad.runtime import cut
+from polyad.runtime import bounded_rows, cut
 
-#: Nodes or edges up to which betweenness keeps a table of all pairs.
-ALL_PAIRS = 20_000
+#: Vertices and links of a graph up to which measures of all pairs of vertices are computed.
+ALL_PAIRS = 50_000
+ALL_LINKS = 5_000_000
 
 
 def connected_components(edges: DataFrame, nodes: DataFrame | None = None, *, order: int | None = None, size: int | None = None) -> DataFrame:
@@ -97,52 +102,82 @@ def graph_distances(links: DataFrame, *, max_hops: int | None = None) -> DataFra
     return found
 
 
-def closeness(distances: DataFrame, n_nodes: int, nodes: DataFrame) -> DataFrame:
-    """``a`` and ``closeness``: (r / total hops) * (r / (n - 1)) with r the number of nodes reached; 0 without any."""
-    sums = distances.groupBy("a").agg(F.count("*").alias("r"), F.sum("hops").alias("total"))
-    value = F.col("r") / F.col("total") * F.col("r") / F.lit(max(1, n_nodes - 1))
-    return nodes.select(F.col("node").alias("a")).join(sums, "a", "left").select("a", F.coalesce(value, F.lit(0.0)).alias("closeness"))
+def _sweep(starts: np.ndarray, ends: np.ndarray, n: int, source: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Hops and numbers of shortest paths from one vertex, and the vertices by hops; ``ends[starts[v]:starts[v + 1]]`` are v's neighbors."""
+    hops, paths = np.full(n, -1), np.zeros(n)
+    hops[source], paths[source] = 0, 1.0
+    levels = [np.array([source])]
+    while len(levels[-1]):
+        here = levels[-1]
+        counts = starts[here + 1] - starts[here]
+        at = np.repeat(starts[here] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+        to, via = ends[at], np.repeat(here, counts)
+        fresh = hops[to] < 0
+        found = np.unique(to[fresh])
+        np.add.at(paths, to[fresh], paths[via[fresh]])
+        hops[found] = len(levels)
+        levels.append(found)
+    return hops, paths, levels[:-1]
+
+
+def _scores(starts: np.ndarray, ends: np.ndarray, n: int, sources: np.ndarray, measure: str) -> np.ndarray:
+    """Closeness of the sources, or the sources' part of every vertex' betweenness."""
+    out = np.zeros(n)
+    for source in sources:
+        hops, paths, levels = _sweep(starts, ends, n, source)
+        if measure == "closeness":
+            seen = hops > 0
+            if seen.any():
+                out[source] = seen.sum() / hops[seen].sum() * seen.sum() / max(1, n - 1)
+            continue
+        delta = np.zeros(n)
+        for level in reversed(levels[1:]):  # from the farthest inward
+            counts = starts[level + 1] - starts[level]
+            at = np.repeat(starts[level] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+            to, via = ends[at], np.repeat(level, counts)
+            inner = hops[to] == hops[via] - 1
+            to, via = to[inner], via[inner]
+            np.add.at(delta, to, paths[to] / paths[via] * (1 + delta[via]))
+        delta[source] = 0.0
+        out += delta
+    return out
 
 
-def betweenness(links: DataFrame, distances: DataFrame, n_nodes: int, nodes: DataFrame) -> DataFrame:
-    """``a`` and ``betweenness``: share of shortest paths between two others that pass, over all pairs, by (n - 1)(n - 2) / 2.
+def _path_scores(links: DataFrame, nodes: DataFrame, measure: str) -> DataFrame:
+    """``a`` and its closeness or betweenness in an undirected graph (``a``, ``b`` once per link).
 
-    Dependencies are gathered from the farthest nodes inward, for all sources at once.
+    Closeness is (r / total hops) * (r / (n - 1)) with r vertices reached; betweenness the share of
+    shortest paths between two others, by (n - 1)(n - 2) / 2. Both need all pairs, so the graph is
+    bounded (``ALL_PAIRS`` vertices, ``ALL_LINKS`` links, checked); it goes to every task, and the
+    sources are spread over the tasks.
     """
-    links = cut(links.select("a", "b").distinct())
-    own = nodes.select(F.col("node").alias("a")).select("a", F.col("a").alias("b"), F.lit(0).alias("hops"), F.lit(1.0).alias("paths"))
-    all_pairs = cut(distances.unionByName(own))
-    last = all_pairs.agg(F.max("hops")).first()[0] or 0
-    gathered = None
-    deltas = all_pairs.where(F.col("hops") == last).select("a", "b", "paths", F.lit(0.0).alias("delta"))
-    for hops in range(last, 0, -1):
-        share = deltas.select(F.col("a").alias("s"), F.col("b").alias("w"), ((1 + F.col("delta")) / F.col("paths")).alias("part"))
-        inner = all_pairs.where(F.col("hops") == hops - 1).select(F.col("a").alias("s"), F.col("b").alias("v"), F.col("paths").alias("sigma"))
-        ahead = inner.join(links.select(F.col("a").alias("v"), F.col("b").alias("w")), "v").join(share, ["s", "w"])
-        sums = ahead.groupBy("s", "v").agg(F.sum(F.col("sigma") * F.col("part")).alias("delta"))
-        deltas = cut(inner.join(sums, ["s", "v"], "left").select(F.col("s").alias("a"), F.col("v").alias("b"), F.col("sigma").alias("paths"), F.coalesce("delta", F.lit(0.0)).alias("delta")))
-        if hops > 1:
-            part = deltas.groupBy(F.col("b").alias("a")).agg(F.sum("delta").alias("delta"))
-            gathered = part if gathered is None else gathered.unionByName(part)
-    scale = (n_nodes - 1) * (n_nodes - 2) if n_nodes > 2 else 1
-    base = nodes.select(F.col("node").alias("a"))
-    if gathered is None:
-        return base.select("a", F.lit(0.0).alias("betweenness"))
-    sums = gathered.groupBy("a").agg((F.sum("delta") / scale).alias("betweenness"))
-    return base.join(sums, "a", "left").select("a", F.coalesce("betweenness", F.lit(0.0)).alias("betweenness"))
-
-
-def _path_scores(links: DataFrame, nodes: DataFrame, measure: str) -> DataFrame:
-    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    nodes = cut(nodes)
-    n = nodes.count()
-    if n > ALL_PAIRS:
-        raise InvalidParameterError(f"all pairs of {n} vertices can't be kept; the measure is for at most {ALL_PAIRS}")
-    both = cut(both)
-    distances = graph_distances(both)
-    if measure == "closeness":
-        return closeness(distances, n, nodes)
-    return betweenness(both, distances, n, nodes)
+    if measure not in ("closeness", "betweenness"):
+        raise InvalidParameterError(f"unknown measure: {measure}")
+    spark = links.sparkSession
+    names = sorted(r.node for r in bounded_rows(nodes.select("node"), ALL_PAIRS, "vertices of an all-pairs measure"))
+    kind = dict(nodes.select(F.col("node")).dtypes)["node"]
+    if not names:
+        return nodes.select(F.col("node").alias("a"), F.lit(0.0).alias(measure)).limit(0)
+    at = {x: k for k, x in enumerate(names)}
+    rows = bounded_rows(links.select("a", "b"), ALL_LINKS, "links of an all-pairs measure")
+    pairs = np.array([(at[r.a], at[r.b]) for r in rows], dtype=np.int64).reshape(-1, 2)
+    both = np.unique(np.vstack([pairs, pairs[:, ::-1]]), axis=0)
+    n = len(names)
+    starts = np.searchsorted(both[:, 0], np.arange(n + 1))
+    shared = spark.sparkContext.broadcast((starts, both[:, 1].copy()))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        starts, ends = shared.value
+        for frame in frames:
+            scores = _scores(starts, ends, n, frame["id"].to_numpy(), measure)
+            hit = np.flatnonzero(scores)
+            yield pd.DataFrame({"k": hit, "x": scores[hit]})
+
+    parts = spark.range(n, numPartitions=min(n, 64)).mapInPandas(run, "k bigint, x double")
+    scale = (n - 1) * (n - 2) if measure == "betweenness" and n > 2 else 1
+    summed = parts.groupBy("k").agg((F.sum("x") / scale).alias(measure))
+    named = spark.createDataFrame(list(enumerate(names)), f"k bigint, a {kind}")
+    return named.join(summed, "k", "left").select("a", F.coalesce(measure, F.lit(0.0)).alias(measure))
 
 
 def edge_path_scores(edges: DataFrame, measure: str, *, s: float = 1) -> DataFrame:
