@@ -22,6 +22,11 @@ ALL_PAIRS = 50_000
 ALL_LINKS = 5_000_000
 
 
+def _mark(links: DataFrame) -> tuple:
+    """Number and combined hash of a set of links: equal sets have equal marks."""
+    return tuple(links.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.pmod(F.xxhash64("v", "u"), F.lit(1 << 31)))).first())
+
+
 def connected_components(edges: DataFrame, nodes: DataFrame | None = None, *, order: int | None = None, size: int | None = None) -> DataFrame:
     """``node`` and ``component``, the least node that it is connected with; a node without edges is its own.
 
@@ -32,6 +37,7 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None, *, or
     used = by_size(edges, order=order, size=size)
     links = used.select(F.explode("nodes").alias("u"), F.array_min("nodes").alias("v")).where("u != v").distinct()
     links = cut(links)
+    before = _mark(links)
     while True:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # large star: every larger neighbor is linked to the least of the neighborhood
@@ -41,10 +47,10 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None, *, or
         down = large.where("v < u")
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        now = cut(small)
-        if now.count() == links.count() and now.exceptAll(links).isEmpty():
+        links = cut(small)
+        if (now := _mark(links)) == before:
             break
-        links = now
+        before = now
     return every.join(links.select(F.col("u").alias("node"), F.col("v").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 

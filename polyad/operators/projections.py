@@ -9,7 +9,7 @@ from polyad.errors import InvalidParameterError
 from polyad.operators.edges import node_table
 
 #: Sizes up to which all subsets of an edge are listed (2 ** size of them).
-MAX_CLOSED = 16
+MAX_CLOSED = 20
 
 
 def bipartite(edges: DataFrame) -> DataFrame:

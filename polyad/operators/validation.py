@@ -20,12 +20,27 @@ def binomial_tail(n: int, p: float, at_least: int) -> float:
         return 1.0
     if at_least > n or p <= 0:
         return 0.0
-    k = np.arange(at_least, n + 1)
-    term = lgamma(n + 1) - lgamma(at_least + 1) - lgamma(n - at_least + 1) + at_least * np.log(p) + (n - at_least) * np.log1p(-p)
-    steps = np.log(n - k[:-1]) - np.log(k[1:]) + np.log(p) - np.log1p(-p)
-    logs = term + np.concatenate([[0.0], np.cumsum(steps)])
-    top = logs.max()
-    return float(min(1.0, np.exp(top) * np.exp(logs - top).sum()))
+    if at_least <= n * p:  # the part below is the shorter one, and no small number is lost in 1 - x
+        below = _sum_terms(n, p, 0, at_least - 1)
+        return float(max(0.0, 1.0 - below))
+    return float(min(1.0, _sum_terms(n, p, at_least, n)))
+
+
+def _sum_terms(n: int, p: float, low: int, high: int) -> float:
+    """Sum of the binomial terms low..high, ended where falling terms no longer change it."""
+    odds = np.log(p) - np.log1p(-p)
+    log_first = lgamma(n + 1) - lgamma(low + 1) - lgamma(n - low + 1) + low * np.log(p) + (n - low) * np.log1p(-p)
+    total, start = 0.0, low
+    while start <= high:
+        k = np.arange(start, min(start + 63, high) + 1)
+        logs = log_first + np.concatenate([[0.0], np.cumsum(np.log(n - k[:-1]) - np.log(k[1:]) + odds)])
+        terms = np.exp(logs)
+        total += float(terms.sum())
+        end = int(k[-1])
+        if end == high or terms[-1] <= total * 1e-18 and end > n * p:
+            break
+        log_first, start = logs[-1] + np.log(n - end) - np.log(end + 1) + odds, end + 1
+    return total
 
 
 @F.pandas_udf(DoubleType())
