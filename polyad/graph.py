@@ -33,6 +33,8 @@ class Hypergraph:
     duplicate: str = "accumulate_weight"
     metadata: str = "merge"
     meta: dict | None = None
+    incidence_meta: DataFrame | None = None
+    empty_edges: DataFrame | None = None
 
     # -- construction
 
@@ -156,8 +158,72 @@ class Hypergraph:
     def remove_node_attribute(self, name: str) -> Hypergraph:
         return self._with(self.edges, self.nodes.withColumn("meta", F.map_filter("meta", lambda k, v: k != name)))
 
+    def set_edge_meta(self, metas: DataFrame) -> Hypergraph:
+        """New metadata for the keys in ``metas`` (key columns and ``meta``, as the edges have it)."""
+        joined = self.edges.drop("meta").join(metas.select(*E.KEYS[self.kind], F.col("meta").alias("new")), E.KEYS[self.kind], "left")
+        old = self.edges.select("edge_id", "meta") if "meta" in self.edges.columns else None
+        if old is None:
+            return self._with(joined.withColumnRenamed("new", "meta"))
+        return self._with(joined.join(old, "edge_id").withColumn("meta", F.coalesce("new", "meta")).drop("new"))
+
+    def remove_edge_attribute(self, name: str) -> Hypergraph:
+        return self._with(self.edges.withColumn("meta", F.map_filter("meta", lambda k, v: k != name)))
+
+    def set_incidence_meta(self, metas: DataFrame) -> Hypergraph:
+        """Metadata of nodes in edges: key columns, ``node`` and ``meta``; an incidence that isn't there is an error."""
+        keys = [*E.KEYS[self.kind], "node"]
+        held = self.edges.select(*E.KEYS[self.kind], F.explode("nodes").alias("node"))
+        if not metas.join(held, keys, "left_anti").isEmpty():
+            raise MissingEdgeError("a node isn't in the edge")
+        new = metas.select(*keys, "meta")
+        if self.incidence_meta is not None:
+            new = new.unionByName(self.incidence_meta.join(new, keys, "left_anti"))
+        return replace(self, incidence_meta=new)
+
+    def set_meta(self, **values: Any) -> Hypergraph:
+        """Metadata of the hypergraph itself."""
+        return replace(self, meta={**(self.meta or {}), **values})
+
+    def add_empty_edges(self, edges: DataFrame) -> Hypergraph:
+        """Named edges without nodes (``name``, ``meta``), kept apart from the others; a name that is there is an error."""
+        if self.empty_edges is not None:
+            if not edges.join(self.empty_edges, "name", "left_semi").isEmpty():
+                raise InvalidParameterError("an empty edge of this name is there already")
+            edges = self.empty_edges.unionByName(edges)
+        return replace(self, empty_edges=edges)
+
     # -- look
 
+    def sources(self) -> DataFrame:
+        """``src`` of every directed edge."""
+        self._needs("directed")
+        return self.edges.select("src")
+
+    def targets(self) -> DataFrame:
+        self._needs("directed")
+        return self.edges.select("tgt")
+
+    def source_edges(self, node: Any, **of: int) -> DataFrame:
+        """Directed edges with the node among their sources."""
+        self._needs("directed")
+        return E.by_size(self.edges, **of).where(F.array_contains("src", node))
+
+    def target_edges(self, node: Any, **of: int) -> DataFrame:
+        self._needs("directed")
+        return E.by_size(self.edges, **of).where(F.array_contains("tgt", node))
+
+    def edges_by_size(self) -> DataFrame:
+        """``size``, ``order`` and the edges' ids, ascending. A size's list grows with its edges; for numbers use ``sizes``."""
+        return self.edges.groupBy("size").agg((F.first("size") - 1).alias("order"), F.array_sort(F.collect_list("edge_id")).alias("edge_ids"))
+
+    def layers(self) -> DataFrame:
+        self._needs("multiplex")
+        return self.edges.select("layer").distinct()
+
+    def times(self) -> DataFrame:
+        self._needs("temporal")
+        return self.edges.select("time").distinct()
+
     def get_edges(self, *, order: int | None = None, size: int | None = None, up_to: bool = False, time_window: tuple[int, int] | None = None, layer: str | None = None) -> DataFrame:
         found = E.by_size(self.edges, order=order, size=size, up_to=up_to)
         if time_window is not None:

@@ -349,3 +349,19 @@ def test_directed_configuration(spark):
     mixed = N.directed_configuration_model(g.edges, seed=1)
     count = lambda e: Counter((r.role, r.node) for r in E.incidences(e).select("role", "node", F.explode(F.sequence(F.lit(1), F.col("weight").cast("int")))).collect())
     assert count(mixed) == count(g.edges)
+
+
+def test_block_model_samples(spark):
+    u = np.array([[1.0, 0.0]] * 8 + [[0.0, 1.0]] * 8) * 0.7
+    w = np.array([[1.0, 0.01], [0.01, 1.0]])
+    got = N.sample_mixed_membership(spark, u, w, 3, n_samples=2, burn_in=4000, thinning=0, seed=1)
+    rows = got.collect()
+    assert {r["sample"] for r in rows} == {0, 1} and all(len(set(r.nodes)) == len(r.nodes) in (2, 3) and r.weight >= 1 for r in rows)
+    inside = sum(len({x < 8 for x in r.nodes}) == 1 for r in rows)
+    assert inside > 0.6 * len(rows)
+    fixed = N.sample_mixed_membership(spark, u, w, 3, degrees=np.full(16, 3), sizes={2: 12, 3: 8}, burn_in=50, thinning=0, seed=2)
+    held = Counter(x for r in fixed.collect() for x in r.nodes)
+    assert max(held.values()) <= 4
+    assert (N.truncated_poisson(np.array([1e-9, 3.0, 50.0]), np.random.default_rng(0)) >= 1).all()
+    with pytest.raises(InvalidParameterError):
+        N.sample_mixed_membership(spark, u, w, 1)

@@ -159,3 +159,25 @@ def test_empty(spark):
     g = Hypergraph.from_rows(spark.createDataFrame([(None,), ([],), ([None],)], "nodes array<bigint>"))
     assert g.num_edges() == 0 and g.degrees().count() == 0 and g.adjacency().count() == 0 and g.components().count() == 0
     assert g.line_graph().count() == 0 and g.summary().first().n_edges == 0 and g.motifs().agg(F.sum("count")).first()[0] == 0
+
+
+def test_metadata_of_edges_and_incidences(spark, small):
+    metas = spark.createDataFrame([([0, 1], {"k": ["v"]})], "nodes array<bigint>, meta map<string,array<string>>")
+    tagged = small.set_edge_meta(metas)
+    found = {tuple(r.nodes): r.meta for r in tagged.edges.collect()}
+    assert found[0, 1] == {"k": ["v"]} and found[1, 2] is None
+    again = tagged.set_edge_meta(spark.createDataFrame([([1, 2], {"q": ["z"]})], metas.schema))
+    found = {tuple(r.nodes): r.meta for r in again.remove_edge_attribute("k").edges.collect()}
+    assert found[0, 1] == {} and found[1, 2] == {"q": ["z"]}
+    at = spark.createDataFrame([([0, 1], 1, {"role": "x"})], "nodes array<bigint>, node bigint, meta map<string,string>")
+    assert small.set_incidence_meta(at).set_incidence_meta(at).incidence_meta.count() == 1
+    with pytest.raises(MissingEdgeError):
+        small.set_incidence_meta(spark.createDataFrame([([0, 1], 7, {"role": "x"})], at.schema))
+    empty = spark.createDataFrame([("e", {"a": "b"})], "name string, meta map<string,string>")
+    assert small.add_empty_edges(empty).empty_edges.count() == 1
+    with pytest.raises(InvalidParameterError):
+        small.add_empty_edges(empty).add_empty_edges(empty)
+    assert small.set_meta(name="g").meta == {"name": "g"}
+    assert {r["size"]: len(r.edge_ids) for r in small.edges_by_size().collect()} == {2: 3, 3: 2}
+    d = Hypergraph.from_edges(spark, [((1,), (2, 3)), ((2,), (1,))], kind="directed")
+    assert d.source_edges(1).count() == 1 and d.target_edges(1, size=2).count() == 1 and d.sources().count() == d.targets().count() == 2
