@@ -18,8 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from polyad.errors import InvalidParameterError
-from polyad.operators.edges import contains
 from polyad.operators.generators import edge_swaps
+from polyad.operators.projections import subsets_of_size
 from polyad.runtime import cut
 
 
@@ -152,8 +152,12 @@ def count_directed_motifs(edges: DataFrame, n: int = 3) -> DataFrame:
         b = used.where(F.size("nodes") < 4).select(F.col("nodes").alias("y"), F.explode("nodes").alias("node"))
         sets = sets.unionByName(a.join(b, "node").select(F.array_sort(F.array_union("x", "y")).alias("nodes")).where("size(nodes) = 4"))
     sets = cut(sets.distinct().withColumn("edge_id", F.xxhash64("nodes")).select("edge_id", "nodes"))
-    inside = contains(sets, used)
-    arcs = inside.join(used.select(F.col("edge_id").alias("inner_id"), "src", "tgt"), "inner_id").groupBy("edge_id").agg(F.array_sort(F.collect_set(F.struct("src", "tgt"))).alias("arcs"))
+    parts = subsets_of_size(sets, 1)
+    for k in range(2, n + 1):
+        parts = parts.unionByName(subsets_of_size(sets, k))
+    # an edge lies in a set if its nodes are one of the set's subsets
+    inside = parts.withColumnRenamed("part", "nodes").join(used.select("nodes", "src", "tgt"), "nodes")
+    arcs = inside.groupBy("edge_id").agg(F.array_sort(F.collect_set(F.struct("src", "tgt"))).alias("arcs"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict = {}
