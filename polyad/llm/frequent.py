@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 
 from polyad.errors import InvalidParameterError
 
-#: Summaries merged by one task.
+#: Summaries merged by one task, and levels of the tree: the last one merges the rest, one summary per 4,096 partitions at 16 and 4.
 FAN_IN = 16
+LEVELS = 4
 SUMMARY = "item bigint, estimate bigint, error bigint, floor bigint, total bigint, part bigint"
 
 
@@ -101,13 +102,10 @@ def summarize_items(lists: DataFrame, column: str, *, counters: int = 1024) -> D
     if counters < 1:
         raise InvalidParameterError("counters must be at least 1")
     source = lists.select(F.array_compact(F.coalesce(F.col(column).cast("array<bigint>"), F.array().cast("array<bigint>"))).alias("items"))
-    parts = source.rdd.getNumPartitions()
     summaries = source.mapInArrow(_partition_summaries(counters), SUMMARY)
-    while True:
-        summaries = summaries.groupBy(F.expr(f"part div {FAN_IN}").alias("group")).applyInPandas(_merge_parts(counters), SUMMARY)
-        parts = -(-parts // FAN_IN)
-        if parts <= 1:
-            break
+    for level in range(LEVELS):
+        group = F.expr(f"part div {FAN_IN}") if level < LEVELS - 1 else F.lit(0)
+        summaries = summaries.groupBy(group.alias("group")).applyInPandas(_merge_parts(counters), SUMMARY)
     return summaries.where(F.col("item").isNotNull()).drop("part")
 
 
