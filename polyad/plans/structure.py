@@ -26,7 +26,8 @@ def shown(edges: DataFrame, *more: str) -> DataFrame:
 
 
 def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
-    return df.withColumns({c: F.round(F.col(c).cast("double"), digits) for c in columns})
+    """Rounded columns, without negative zeros."""
+    return df.withColumns({c: F.round(F.col(c).cast("double"), digits) + F.lit(0.0) for c in columns})
 
 
 # -- construction
@@ -305,7 +306,7 @@ def degree_distribution_size3(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     f"""WITH {G.PARTS_SQL}, n AS (SELECT DISTINCT node FROM i), s AS (SELECT DISTINCT size FROM e WHERE size >= 2),
 d AS (SELECT n.node, s.size, count(i.node)::DOUBLE AS d FROM n CROSS JOIN s LEFT JOIN i ON i.node = n.node AND i.size = s.size GROUP BY ALL)
-SELECT a.size AS size_a, b.size AS size_b, CASE WHEN stddev_pop(a.d) > 0 AND stddev_pop(b.d) > 0 THEN round(corr(a.d, b.d), 6) END AS correlation
+SELECT a.size AS size_a, b.size AS size_b, CASE WHEN stddev_pop(a.d) > 0 AND stddev_pop(b.d) > 0 THEN round(corr(a.d, b.d), 6) + 0.0 END AS correlation
 FROM d a JOIN d b ON a.node = b.node AND a.size <= b.size GROUP BY ALL"""
 )
 def degree_correlation(spark: SparkSession, folder: str) -> DataFrame:

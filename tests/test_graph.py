@@ -128,7 +128,7 @@ def test_projections(spark, small):
     subsets = {(r.edge_id, tuple(r.part)) for r in P.subsets_of_size(small.edges, 2).collect()}
     assert len(subsets) == 9
     with pytest.raises(Exception, match="more than"):
-        P.simplicial_complex(Hypergraph.from_edges(spark, [tuple(range(20))]).edges).collect()
+        P.simplicial_complex(Hypergraph.from_edges(spark, [tuple(range(25))]).edges).collect()
     with pytest.raises(InvalidParameterError):
         P.line_graph(small.edges, distance="cosine")
 
