@@ -132,7 +132,7 @@ def pairs_together(records: DataFrame, *, min_count: int = 1, heavy_share: float
     light = records.select(F.array_sort(F.array_except("members", heavy_array)).alias("light")).where(F.size("light") > 1)
     firsts = F.explode(F.sequence(F.lit(1), F.size("light") - 1))
     usual = light.where(F.size("light") <= WIDE).select("light", firsts.alias("k"))
-    wide = light.where(F.size("light") > WIDE).select("light", firsts.alias("k")).repartition(F.rand(7))
+    wide = light.where(F.size("light") > WIDE).select("light", firsts.alias("k")).repartition("k", "light")
     pairs = [
         part.select(F.element_at("light", F.col("k")).alias("a"), F.explode(F.expr("slice(light, k + 1, size(light))")).alias("b"), F.lit(1).cast("bigint").alias("n"))
         for part in (usual, wide)

@@ -40,7 +40,8 @@ def _records(spark: SparkSession, folder: str) -> DataFrame:
 
 def _together(spark: SparkSession, folder: str) -> DataFrame:
     pairs = pairs_together(_records(spark, folder), min_count=12)
-    above = F.col("n_both") * F.col("n_records") >= 4 * F.col("n_a") * F.col("n_b")
+    n_both, n_records, n_a, n_b = (F.col(c).cast("decimal(18,0)") for c in ("n_both", "n_records", "n_a", "n_b"))  # products of counts may exceed BIGINT
+    above = n_both * n_records >= n_a * n_b * 4
     return pairs.where(above).withColumnsRenamed({"item_a": "node_a", "item_b": "node_b"})
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from polyad.errors import InvalidParameterError
-from polyad.runtime import cut
+from polyad.runtime import cut, shared_root
 
 #: Bits of a code point in a packed trigram.
 BITS = 21
@@ -320,11 +320,13 @@ def _scores_by_join(texts: DataFrame, model: KneserNey, kind: str) -> DataFrame:
 def perplexities(documents: DataFrame, model: KneserNey, *, id_column: str = "doc_id", lang_column: str = "lang", text_column: str = "text", held_rows: int = HELD_ROWS) -> DataFrame:
     """``id_column``, ``lang``, ``n_characters`` and ``perplexity`` of every document; null for texts without characters.
 
-    A model of at most ``held_rows`` rows is held by every worker in sorted arrays; a larger one is joined.
+    A model of at most ``held_rows`` rows is held by every worker in sorted arrays, read from the shared
+    folder; a larger one, or one in a folder that isn't mounted as files, is joined.
     """
     texts = documents.select(F.col(id_column).alias("key"), language(F.col(lang_column)).alias("lang"), F.col(text_column).alias("text"))
     kind = texts.schema["key"].dataType.simpleString()
-    scored = (_scores_by_arrays if model.rows() <= held_rows else _scores_by_join)(texts, model, kind)
+    mounted = shared_root(documents.sparkSession).startswith(("file:", "/"))
+    scored = (_scores_by_arrays if mounted and model.rows() <= held_rows else _scores_by_join)(texts, model, kind)
     value = F.when(F.col("n") > 0, F.exp(-F.col("log_p") / F.col("n")))
     return scored.select(F.col("key").alias(id_column), "lang", F.col("n").alias("n_characters"), value.alias("perplexity"))
 
