@@ -144,14 +144,22 @@ def _size_model(edges: list[tuple[list[int], float]], n: int, k: int, seed: int,
     def clip(x: np.ndarray) -> np.ndarray:
         return np.where(x < 1e-5, 0.0, np.minimum(x, 100.0))
 
+    of_size = [(np.flatnonzero(sizes == d), np.array([e for e, _ in edges if len(e) == d])) for d in np.unique(sizes)]
+
+    def products() -> np.ndarray:
+        out = np.empty((len(edges), k))
+        for at, members in of_size:
+            out[at] = w[members.shape[1]] * np.prod(u[members], axis=1)
+        return out
+
     def shares() -> np.ndarray:
-        rho = np.array([w[len(e)] * np.prod(u[e], axis=0) for e, _ in edges])
+        rho = products()
         total = rho.sum(axis=1, keepdims=True)
         return np.divide(rho, total, out=np.zeros_like(rho), where=total > 0)
 
     def likelihood() -> float:
         psi = _symmetric(u, top)
-        lam = np.array([(w[len(e)] * np.prod(u[e], axis=0)).sum() for e, _ in edges])
+        lam = products().sum(axis=1)
         return float(-(w[2:] * psi[2:]).sum() + (weight * np.log(lam + 1e-300)).sum())
 
     best, calm = likelihood(), 0

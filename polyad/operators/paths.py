@@ -20,6 +20,11 @@ from polyad.runtime import bounded_rows, cut
 #: Vertices and links of a graph up to which measures of all pairs of vertices are computed.
 ALL_PAIRS = 50_000
 ALL_LINKS = 5_000_000
+#: Nodes up to which the incidences go to the tasks as a dense matrix, from which paths are counted in blocks of sources;
+#: edges that such a matrix may have, and edges up to which paths over overlaps, whose links aren't factors of it, are counted.
+DENSE_NODES = 128
+DENSE_EDGES = 200_000
+OVERLAP_EDGES = 20_000
 
 
 def _mark(links: DataFrame) -> tuple:
@@ -149,18 +154,20 @@ def _scores(starts: np.ndarray, ends: np.ndarray, n: int, sources: np.ndarray, m
     return out
 
 
-def _path_scores(links: DataFrame, nodes: DataFrame, measure: str) -> DataFrame:
+def _path_scores(links: DataFrame, nodes: DataFrame, measure: str, *, prefix: str = "") -> DataFrame:
     """``a`` and its closeness or betweenness in an undirected graph (``a``, ``b`` once per link).
 
     Closeness is (r / total hops) * (r / (n - 1)) with r vertices reached; betweenness the share of
     shortest paths between two others, by (n - 1)(n - 2) / 2. Both need all pairs, so the graph is
     bounded (``ALL_PAIRS`` vertices, ``ALL_LINKS`` links, checked); it goes to every task, and the
-    sources are spread over the tasks.
+    sources are spread over the tasks. With a ``prefix``, closeness is of the vertices that begin with
+    it: only these are sources and bounded by ``ALL_PAIRS``.
     """
     if measure not in ("closeness", "betweenness"):
         raise InvalidParameterError(f"unknown measure: {measure}")
     spark = links.sparkSession
-    names = sorted(r.node for r in bounded_rows(nodes.select("node"), ALL_PAIRS, "vertices of an all-pairs measure"))
+    few = bool(prefix) and measure == "closeness"
+    names = sorted(r.node for r in bounded_rows(nodes.select("node"), DENSE_EDGES if few else ALL_PAIRS, "vertices of an all-pairs measure"))
     kind = dict(nodes.select(F.col("node")).dtypes)["node"]
     if not names:
         return nodes.select(F.col("node").alias("a"), F.lit(0.0).alias(measure)).limit(0)
@@ -179,27 +186,162 @@ def _path_scores(links: DataFrame, nodes: DataFrame, measure: str) -> DataFrame:
             hit = np.flatnonzero(scores)
             yield pd.DataFrame({"k": hit, "x": scores[hit]})
 
+    sources = [k for k, x in enumerate(names) if x.startswith(prefix)] if few else range(n)
+    if len(sources) > ALL_PAIRS:
+        raise InvalidParameterError(f"sources of a closeness: more than {ALL_PAIRS}; this step needs a bounded input")
+    ids = spark.createDataFrame([(k,) for k in sources], "id bigint").repartition(max(1, min(len(sources), 64))) if few else spark.range(n, numPartitions=min(n, 64))
+    parts = ids.mapInPandas(run, "k bigint, x double")
+    scale = (n - 1) * (n - 2) if measure == "betweenness" and n > 2 else 1
+    summed = parts.groupBy("k").agg((F.sum("x") / scale).alias(measure))
+    named = spark.createDataFrame(list(enumerate(names)), f"k bigint, a {kind}")
+    return named.join(summed, "k", "left").select("a", F.coalesce(measure, F.lit(0.0)).alias(measure))
+
+
+def _incidence(edges: DataFrame) -> tuple[list, list, np.ndarray] | None:
+    """Edges, nodes and their dense incidence matrix; None if there are more than ``DENSE_NODES`` nodes or ``DENSE_EDGES`` edges."""
+    names = sorted(r.node for r in edges.select(F.explode("nodes").alias("node")).distinct().take(DENSE_NODES + 1))
+    if not names or len(names) > DENSE_NODES:
+        return None
+    rows = sorted((r.edge_id, r.nodes) for r in edges.select("edge_id", "nodes").take(DENSE_EDGES + 1))
+    if len(rows) > DENSE_EDGES:
+        return None
+    at = {x: k for k, x in enumerate(names)}
+    held = np.zeros((len(rows), len(names)), dtype=np.uint8)
+    for k, (_, nodes) in enumerate(rows):
+        held[k, [at[x] for x in nodes]] = 1
+    return [x for x, _ in rows], names, held
+
+
+def _shares(first: np.ndarray, step, out: list[np.ndarray]) -> None:
+    """Adds a block of sources' part to every vertex' betweenness.
+
+    ``first`` has a row per source. Levels alternate between the kinds of vertices that ``out`` has (one or
+    two); ``step(x, kind, need)`` is x times the adjacency from that kind to the next, right where ``need``.
+    """
+    kinds = len(out)
+    seen = [np.zeros((len(first), len(x)), dtype=bool) for x in out]
+    levels = [first]
+    seen[0] |= first > 0
+    while True:
+        kind = len(levels) % kinds
+        new = step(levels[-1], (len(levels) - 1) % kinds, ~seen[kind])
+        new[seen[kind]] = 0.0
+        if not new.any():
+            break
+        seen[kind] |= new > 0
+        levels.append(new)
+    delta = np.zeros_like(levels[-1])
+    for k in range(len(levels) - 1, 0, -1):
+        out[k % kinds] += delta.sum(0)
+        share = np.divide(1 + delta, levels[k], out=np.zeros_like(delta), where=levels[k] > 0)
+        delta = levels[k - 1] * step(share, k % kinds, levels[k - 1] > 0)
+
+
+def _overlap_step(h: np.ndarray, s: float):
+    """Products with the adjacency of overlaps of at least ``s``, made in blocks of columns."""
+
+    def step(x: np.ndarray, kind: int, need: np.ndarray) -> np.ndarray:
+        out = np.zeros(x.shape)
+        rows, columns = np.flatnonzero(x.any(0)), np.flatnonzero(need.any(0))
+        x, own = x[:, rows], h[rows]
+        for k in range(0, len(columns), 512):
+            part = columns[k : k + 512]
+            out[:, part] = x @ (own @ h[part].T >= s).astype(float)
+        return out
+
+    return step
+
+
+def _both_step(h: np.ndarray):
+    """Products with the incidences: kind 0 leads from edges to nodes."""
+    return lambda x, kind, need: x @ h if kind == 0 else x @ h.T
+
+
+def _block_closeness(h: np.ndarray, block: np.ndarray, s: float) -> np.ndarray:
+    """Closeness of a block of edges by overlaps of at least ``s``; for one common node, steps lead over the nodes."""
+    n = len(h)
+    seen = np.zeros((len(block), n), dtype=bool)
+    seen[np.arange(len(block)), block] = True
+    fresh, hops, total = seen.copy(), 0, np.zeros(len(block))
+    step = _overlap_step(h, s)
+    while fresh.any():
+        hops += 1
+        fresh = (((fresh.astype(h.dtype) @ h > 0).astype(h.dtype) @ h.T) if s == 1 else step(fresh.astype(float), 0, ~seen)) > 0
+        fresh &= ~seen
+        seen |= fresh
+        total += hops * fresh.sum(1)
+    reached = seen.sum(1) - 1.0
+    return np.divide(reached * reached, total * max(1, n - 1), out=np.zeros(len(block)), where=total > 0)
+
+
+def _dense_scores(edges: DataFrame, found: tuple[list, list, np.ndarray], measure: str, of: str, s: float = 1) -> DataFrame:
+    """Path scores from a dense incidence matrix: of ``edge`` by overlaps, or the betweenness of ``node`` in the bipartite graph."""
+    spark = edges.sparkSession
+    ids, nodes, held = found
+    n_edges, n_nodes = held.shape
+    shared = spark.sparkContext.broadcast(held)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        h = shared.value.astype(np.float32 if measure == "closeness" else float)
+        size = max(1, 4_000_000 // n_edges)
+        out = [np.zeros(n_edges)] if of == "edge" else [np.zeros(n_edges), np.zeros(n_nodes)]
+        for frame in frames:
+            every = frame["id"].to_numpy()
+            # sources beyond the edges are nodes
+            for kind, sources in enumerate((every[every < n_edges], every[every >= n_edges] - n_edges)):
+                for k in range(0, len(sources), size):
+                    block = sources[k : k + size]
+                    if measure == "closeness":
+                        out[0][block] = _block_closeness(h, block, s)
+                        continue
+                    first = np.zeros((len(block), held.shape[kind]))
+                    first[np.arange(len(block)), block] = 1.0
+                    if of == "edge":
+                        _shares(first, _overlap_step(h, s), out)
+                    elif kind == 0:
+                        _shares(first, _both_step(h), out)
+                    else:
+                        _shares(first, _both_step(h.T), out[::-1])
+        hit = np.flatnonzero(out[-1])
+        yield pd.DataFrame({"k": hit, "x": out[-1][hit]})
+
+    names = ids if of == "edge" else nodes
+    n = n_edges if of == "edge" else n_edges + n_nodes
     parts = spark.range(n, numPartitions=min(n, 64)).mapInPandas(run, "k bigint, x double")
     scale = (n - 1) * (n - 2) if measure == "betweenness" and n > 2 else 1
     summed = parts.groupBy("k").agg((F.sum("x") / scale).alias(measure))
+    kind = edges.schema["edge_id"].dataType.simpleString() if of == "edge" else edges.schema["nodes"].dataType.elementType.simpleString()
     named = spark.createDataFrame(list(enumerate(names)), f"k bigint, a {kind}")
     return named.join(summed, "k", "left").select("a", F.coalesce(measure, F.lit(0.0)).alias(measure))
 
 
 def edge_path_scores(edges: DataFrame, measure: str, *, s: float = 1) -> DataFrame:
-    """``edge_id`` and its closeness or betweenness in the line graph of overlaps of at least ``s``."""
+    """``edge_id`` and its closeness or betweenness in the line graph of overlaps of at least ``s``.
+
+    Over few nodes the overlaps are made from the incidences in blocks of sources and no link is stored.
+    """
     from polyad.operators.projections import line_graph
 
+    found = _incidence(edges) if measure in ("closeness", "betweenness") and s >= 1 else None
+    if found is not None:
+        if (s == 1 and measure == "closeness") or len(found[0]) <= OVERLAP_EDGES:
+            return _dense_scores(edges, found, measure, "edge", s).withColumnRenamed("a", "edge_id")
+        degree = found[2].sum(0, dtype=np.int64)
+        if (degree * (degree - 1) // 2).sum() > ALL_LINKS:
+            raise InvalidParameterError(f"edges of paths over overlaps: more than {OVERLAP_EDGES}; this step needs a bounded input")
     links = line_graph(edges, s=s).select(F.col("edge_a").alias("a"), F.col("edge_b").alias("b"))
     return _path_scores(links, edges.select(F.col("edge_id").alias("node")), measure).withColumnRenamed("a", "edge_id")
 
 
 def node_path_scores(edges: DataFrame, measure: str) -> DataFrame:
     """``node`` and its closeness or betweenness in the bipartite graph of nodes and edges."""
+    found = _incidence(edges) if measure == "betweenness" else None
+    if found is not None:
+        return _dense_scores(edges, found, measure, "node").select(F.col("a").cast("string").alias("node"), measure)
     named = edges.select("edge_id", F.explode("nodes").alias("node"))
     held = named.select(F.concat(F.lit("N"), F.col("node").cast("string")).alias("a"), F.concat(F.lit("E"), F.col("edge_id").cast("string")).alias("b"))
     vertices = held.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    scored = _path_scores(held, vertices, measure).where("a LIKE 'N%'")
+    scored = _path_scores(held, vertices, measure, prefix="N").where("a LIKE 'N%'")
     return scored.select(F.substring("a", 2, 1_000_000).alias("node"), measure)
 
 

@@ -82,27 +82,27 @@ def supra_adjacency(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def node_closeness(spark: SparkSession, folder: str) -> DataFrame:
-    nations = E.by_size(E.to_undirected(G.flows(spark, folder)), size=3, up_to=True)
+    nations = cut(E.to_undirected(G.flows(spark, folder)))
     return rounded(P.node_path_scores(nations, "closeness"), "closeness")
 
 
 @query()
 def s_closeness(spark: SparkSession, folder: str) -> DataFrame:
-    nations = cut(E.by_size(E.to_undirected(G.flows(spark, folder)), size=3, up_to=True))
+    nations = cut(E.to_undirected(G.flows(spark, folder)))
     scored = P.edge_path_scores(nations, "closeness").join(nations.select("edge_id", "nodes"), "edge_id")
     return rounded(scored.select(label(F.col("nodes")).alias("edge"), "closeness"), "closeness")
 
 
 @query()
 def s_betweenness(spark: SparkSession, folder: str) -> DataFrame:
-    nations = cut(E.by_size(E.to_undirected(G.flows(spark, folder)), size=3, up_to=True))
+    nations = cut(E.to_undirected(G.flows(spark, folder)))
     scored = P.edge_path_scores(nations, "betweenness", s=2).join(nations.select("edge_id", "nodes"), "edge_id")
     return rounded(scored.select(label(F.col("nodes")).alias("edge"), "betweenness"), "betweenness")
 
 
 @query()
 def node_betweenness(spark: SparkSession, folder: str) -> DataFrame:
-    nations = E.by_size(E.to_undirected(G.flows(spark, folder)), size=3, up_to=True)
+    nations = cut(E.to_undirected(G.flows(spark, folder)))
     return rounded(P.node_path_scores(nations, "betweenness"), "betweenness")
 
 
@@ -265,7 +265,7 @@ def mixed_membership(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def size_model(spark: SparkSession, folder: str) -> DataFrame:
-    nations = E.to_undirected(G.flows(spark, folder)).where("size <= 3")
+    nations = E.to_undirected(G.flows(spark, folder))
     memberships, _, _ = K.fit_size_model(cut(nations), 2, realizations=2, max_iter=20, seed=1)
     return memberships.select("node", F.round(F.col("u")[0], 6).alias("u0"), F.round(F.col("u")[1], 6).alias("u1"))
 
@@ -283,7 +283,7 @@ def core_periphery(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def edge_communities(spark: SparkSession, folder: str) -> DataFrame:
-    nations = cut(E.to_undirected(G.flows(spark, folder)).where("size <= 3"))
+    nations = cut(E.to_undirected(G.flows(spark, folder)))
     found = K.edge_communities(nations, 0.7)
     return K.overlapping_communities(nations, found).select("node", F.size("communities").alias("n_communities"))
 
