@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import math
+from fractions import Fraction
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from polyad.errors import InvalidParameterError
 from polyad.operators.matrices import temporal_adjacency
-from polyad.operators.paths import graph_distances
-from polyad.operators.projections import clique
 from polyad.runtime import cut
 
 
@@ -61,7 +60,25 @@ def gap_function(edges: DataFrame, order_a: int, order_b: int, tau: int, *, n_ti
 def correlation_table(edges: DataFrame, max_order: int, taus: list[int], *, n_times: int | None = None) -> DataFrame:
     """``order_a``, ``order_b``, ``tau``, ``correlation`` for all pairs of orders, each computed in its own direction."""
     edges, t = _indexed(edges, n_times)
-    rows = [(a, b, tau, correlation_function(edges, a, b, tau, n_times=t)) for a in range(1, max_order + 1) for b in range(1, max_order + 1) for tau in taus]
+    if not all(0 <= tau < t for tau in taus):
+        raise InvalidParameterError("tau must lie between 0 and the number of times - 1")
+    used = edges.where(F.col("size").between(2, max_order + 1))
+    pairs = used.select("time", (F.col("size") - 1).alias("order"), "nodes", F.explode("nodes").alias("row")).select("time", "order", "row", F.explode("nodes").alias("col")).where("row != col")
+    entries = cut(pairs.groupBy("order", "time", "row", "col").agg(F.count("*").cast("double").alias("val")))
+    orders = ["order_a", "order_b"]
+    value: dict[tuple[int, int, int], float] = {}
+    for tau in taus:
+        a = entries.select(F.col("order").alias("order_a"), (F.col("time") + tau).alias("time"), "row", "col", F.col("val").alias("x"))
+        met = a.join(entries.withColumnsRenamed({"order": "order_b", "val": "y"}), ["time", "row", "col"]).groupBy(*orders).agg(F.sum(F.col("x") * F.col("y")).alias("v"))
+        # every term of the rest has a factor of each order, so only entries that both have count
+        sums = entries.groupBy("order", "row", "col").agg(F.sum(F.when(F.col("time") < t - tau, F.col("val")).otherwise(0)).alias("first"), F.sum(F.when(F.col("time") >= tau, F.col("val")).otherwise(0)).alias("last"), (F.sum("val") / t).alias("mean"))
+        sums = cut(sums)
+        both = sums.select(F.col("order").alias("order_a"), "row", "col", F.col("first").alias("sa"), F.col("mean").alias("ma")).join(sums.select(F.col("order").alias("order_b"), "row", "col", F.col("last").alias("sb"), F.col("mean").alias("mb")), ["row", "col"])
+        rest = both.groupBy(*orders).agg(F.sum(-F.col("sa") * F.col("mb") - F.col("ma") * F.col("sb") + (t - tau) * F.col("ma") * F.col("mb")).alias("v"))
+        for r in met.unionByName(rest).groupBy(*orders).agg(F.sum("v").alias("v")).collect():  # a row per pair of orders
+            value[r.order_a, r.order_b, tau] = r.v
+    # a fraction, for factorials of large orders are beyond a float
+    rows = [(a, b, tau, float(Fraction(value.get((a, b, tau), 0.0)) / (math.factorial(a) * math.factorial(b) * (t - tau)))) for a in range(1, max_order + 1) for b in range(1, max_order + 1) for tau in taus]
     return edges.sparkSession.createDataFrame(rows, "order_a int, order_b int, tau int, correlation double")
 
 
@@ -80,16 +97,25 @@ def correlation_matrix(edges: DataFrame, order_a: int, order_b: int, tau: int, *
 
 
 def edge_distances(edges: DataFrame, *, max_hops: int | None = None) -> DataFrame:
-    """``edge_a``, ``edge_b``, ``distance``: least hops between their nodes + 1, for different edges that are connected."""
-    links = clique(edges)
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    hops = graph_distances(both, max_hops=max_hops).select("a", "b", "hops")
-    own = edges.select(F.explode("nodes").alias("a")).distinct().select("a", F.col("a").alias("b"), F.lit(0).alias("hops"))
+    """``edge_a``, ``edge_b``, ``distance``: least hops between their nodes + 1, for different edges that are connected.
+
+    Every edge's front alternates between nodes and edges, so links between nodes and pairs of members are never stored.
+    """
     held = cut(edges.select("edge_id", F.explode("nodes").alias("node")))
-    a = held.select(F.col("edge_id").alias("edge_a"), F.col("node").alias("a"))
-    b = held.select(F.col("edge_id").alias("edge_b"), F.col("node").alias("b"))
-    met = hops.unionByName(own).join(a, "a").join(b, "b").where("edge_a != edge_b")
-    return met.groupBy("edge_a", "edge_b").agg((F.min("hops") + 1).alias("distance"))
+    fresh = reached = held.select(F.col("edge_id").alias("edge_a"), "node")
+    found, distance = None, 0
+    while max_hops is None or distance <= max_hops:
+        distance += 1
+        met = fresh.join(held.withColumnRenamed("edge_id", "edge_b"), "node").where("edge_a != edge_b").select("edge_a", "edge_b").distinct()
+        met = met if found is None else met.join(found, ["edge_a", "edge_b"], "left_anti")
+        step = cut(met.withColumn("distance", F.lit(distance)))
+        found = step if found is None else found.unionByName(step)
+        if step.isEmpty():
+            break
+        ahead = step.join(held.withColumnRenamed("edge_id", "edge_b"), "edge_b").select("edge_a", "node").distinct()
+        fresh = cut(ahead.join(reached, ["edge_a", "node"], "left_anti"))
+        reached = reached.unionByName(fresh)
+    return found
 
 
 def event_distances(events: DataFrame, distances: DataFrame, delays: list[int], *, size: int | None = None, other_size: int | None = None) -> DataFrame:

@@ -242,16 +242,18 @@ def reducibility(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def temporal_correlation(spark: SparkSession, folder: str) -> DataFrame:
     edges = cut(G.hours(spark, folder))
-    first = edges.agg(F.min("time")).first()[0]
-    return rounded(R.correlation_table(edges.withColumn("time", F.col("time") - first), 2, [0, 1]), "correlation", digits=9)
+    first, largest = edges.agg(F.min("time"), F.max("size")).first()
+    found = R.correlation_table(edges.withColumn("time", F.col("time") - first), max(1, largest - 1), [0, 1])
+    # significant digits: the factorials make values of large orders small
+    return found.withColumn("correlation", F.format_string("%.8e", "correlation").cast("double"))
 
 
 @query()
 def event_distances(spark: SparkSession, folder: str) -> DataFrame:
     events = cut(G.hours(spark, folder))
     edges = cut(E.to_undirected(events))
-    placed = events.select("time", "nodes", "size").join(edges.select("edge_id", "nodes"), "nodes").where("size = 2")
-    return R.event_distances(placed.select("time", "edge_id", "size"), R.edge_distances(edges.where("size = 2"), max_hops=3), [2, 8, 24])
+    placed = events.select("time", "nodes", "size").join(edges.select("edge_id", "nodes"), "nodes")
+    return R.event_distances(placed.select("time", "edge_id", "size"), R.edge_distances(edges), [2, 8, 24])
 
 
 # -- models

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from polyad import Hypergraph
 from polyad.operators import communities as K
+from polyad.operators import correlation as R
 from polyad.operators import edges as E
 from polyad.operators import paths as P
 from polyad.plans import analysis as A
@@ -46,3 +47,20 @@ def test_dense_paths_agree(spark, monkeypatch):
     sparse = [P.edge_path_scores(g.edges, m, s=s).collect() for m in ("closeness", "betweenness") for s in (1, 2)] + [P.node_path_scores(g.edges, "betweenness").collect()]
     for a, b in zip(dense, sparse):
         assert dict(a) == pytest.approx(dict(b))
+
+
+def test_all_sizes_of_events(spark):
+    hours = G.hours(spark, DATA)
+    largest = hours.agg(F.max("size")).first()[0]
+    table = A.temporal_correlation(spark, DATA).where("tau = 0 AND order_a = order_b").collect()
+    assert {r.order_a for r in table} == set(range(1, largest)) and all(r.correlation > 0 for r in table)
+    # pairs of simultaneous events of one size are in the histogram whatever their size
+    counts = hours.where("size = 1").groupBy("nodes").count().count()
+    assert counts and A.event_distances(spark, DATA).where("distance = 0").agg(F.sum("n")).first()[0] > hours.where("size = 2").count()
+
+
+def test_correlation_table_agrees(spark):
+    events = [(s % 5, e) for s, e in enumerate(made(7, 7, 40, (2, 3, 4)))]
+    edges = Hypergraph.from_edges(spark, events, kind="temporal").cached().edges
+    for r in R.correlation_table(edges, 3, [0, 2]).collect():
+        assert r.correlation == pytest.approx(R.correlation_function(edges, r.order_a, r.order_b, r.tau))
