@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable
+from functools import reduce
 from itertools import chain, combinations
 
 from pyspark.sql import DataFrame
@@ -48,12 +49,22 @@ def layer_costs(edges: DataFrame, nodes: DataFrame | None = None, *, method: str
     m: dict[tuple[int, int], float] = {}
     for k in sizes:
         part = edges.where(F.col("size") == k).select("edge_id", "nodes")
-        for low in sorted((x for x in sizes if x < k), reverse=True):
-            covered = cut(subsets_of_size(part, low).select(F.col("part").alias("nodes")).distinct())
-            p = covered.count()
-            common = covered.join(edges.where(F.col("size") == low).select("nodes"), "nodes", "left_semi").count()
+        below = sorted((x for x in sizes if x < k), reverse=True)
+        if method == "count" and below:
+            # the subsets of all sizes in one table
+            parts = [subsets_of_size(part, low).select(F.lit(low).alias("size"), F.col("part").alias("nodes")) for low in below]
+            covered = cut(reduce(DataFrame.unionByName, parts).distinct())
+            p_of = {r["size"]: r["count"] for r in covered.groupBy("size").count().collect()}
+            hits = covered.join(edges.select("nodes"), "nodes", "left_semi").groupBy("size").count().collect()
+            common_of = {r["size"]: r["count"] for r in hits}
+        for low in below:
             if method == "project":
+                covered = cut(subsets_of_size(part, low).select(F.col("part").alias("nodes")).distinct())
+                p = covered.count()
+                common = covered.join(edges.where(F.col("size") == low).select("nodes"), "nodes", "left_semi").count()
                 part = covered.withColumn("edge_id", F.lit(0)).select("edge_id", "nodes")
+            else:
+                p, common = p_of[low], common_of.get(low, 0)
             rest = ways[low] - p
             m[k, low] = log_choose(p, common) + _log_binomial_of(math.log(rest) if rest > 0 else 0.0, float(rest), layers[low] - common)
     return q, m
@@ -64,13 +75,14 @@ def _length(chosen: Iterable[int], sizes: list[int], q: dict, m: dict) -> float:
     return sum(q[k] for k in chosen) + sum(min(m[k, low] for k in chosen if k > low) for low in sizes if low not in chosen)
 
 
-def reducibility(edges: DataFrame, nodes: DataFrame | None = None, *, optimization: str = "exact", method: str = "count") -> tuple[float, tuple[int, ...]]:
+def reducibility(edges: DataFrame, nodes: DataFrame | None = None, *, optimization: str = "exact", method: str = "count", costs: tuple[dict, dict] | None = None) -> tuple[float, tuple[int, ...]]:
     """eta and the representative sizes that describe the whole hypergraph in the shortest way.
 
     eta = (H0 - H*) / (H0 - Q_max), 1 if there is nothing to gain. ``exact`` tries all sets of layers that
-    hold the largest size; ``greedy`` adds the layer that gains most until none does.
+    hold the largest size; ``greedy`` adds the layer that gains most until none does. ``costs`` are those of
+    ``layer_costs``, if they are at hand.
     """
-    q, m = layer_costs(edges, nodes, method=method)
+    q, m = costs or layer_costs(edges, nodes, method=method)
     sizes = sorted(q)
     if not sizes:
         raise InvalidParameterError("there are no edges of two or more nodes")
@@ -94,9 +106,9 @@ def reducibility(edges: DataFrame, nodes: DataFrame | None = None, *, optimizati
     return (1.0 if math.isclose(h0, q[top]) else (h0 - h) / (h0 - q[top])), best
 
 
-def layer_reducibility(edges: DataFrame, nodes: DataFrame | None = None, *, method: str = "count") -> dict[int, float]:
+def layer_reducibility(edges: DataFrame, nodes: DataFrame | None = None, *, method: str = "count", costs: tuple[dict, dict] | None = None) -> dict[int, float]:
     """Per size l, 1 - min over k > l of M_kl / Q_l; 0 for the largest, 1 where Q_l is 0."""
-    q, m = layer_costs(edges, nodes, method=method)
+    q, m = costs or layer_costs(edges, nodes, method=method)
     top = max(q, default=None)
     return {low: 0.0 if low == top else 1.0 if q[low] == 0 else 1 - min(m[k, low] for k in q if k > low) / q[low] for low in sorted(q)}
 

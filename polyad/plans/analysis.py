@@ -229,9 +229,10 @@ def motif_profile(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def reducibility(spark: SparkSession, folder: str) -> DataFrame:
-    edges = cut(G.parts(spark, folder).where("size <= 6"))
-    eta, sizes = U.reducibility(edges)
-    layers = U.layer_reducibility(edges)
+    edges = cut(G.parts(spark, folder))
+    costs = U.layer_costs(edges)
+    eta, sizes = U.reducibility(edges, optimization="exact" if len(costs[0]) <= U.EXACT_LAYERS else "greedy", costs=costs)
+    layers = U.layer_reducibility(edges, costs=costs)
     rows = [("all", float(eta), "|".join(map(str, sizes)))] + [(str(k), float(v), "") for k, v in layers.items()]
     return rounded(spark.createDataFrame(rows, "layer string, eta double, sizes string"), "eta")
 

@@ -8,6 +8,7 @@ from polyad.operators import communities as K
 from polyad.operators import correlation as R
 from polyad.operators import edges as E
 from polyad.operators import paths as P
+from polyad.operators import reducibility as U
 from polyad.plans import analysis as A
 from polyad.plans import graphs as G
 from tests.conftest import DATA
@@ -64,3 +65,14 @@ def test_correlation_table_agrees(spark):
     edges = Hypergraph.from_edges(spark, events, kind="temporal").cached().edges
     for r in R.correlation_table(edges, 3, [0, 2]).collect():
         assert r.correlation == pytest.approx(R.correlation_function(edges, r.order_a, r.order_b, r.tau))
+
+
+def test_reducibility_of_all_sizes(spark):
+    sizes = {str(r["size"]) for r in G.parts(spark, DATA).where("size >= 2").select("size").distinct().collect()}
+    assert {r.layer for r in A.reducibility(spark, DATA).collect()} == {"all", *sizes}
+
+
+def test_costs_of_both_methods(spark):
+    edges = Hypergraph.from_edges(spark, made(5, 9, 40, (2, 3, 4, 5))).cached().edges
+    count, project = U.layer_costs(edges), U.layer_costs(edges, method="project")
+    assert count[0] == pytest.approx(project[0]) and count[1] == pytest.approx(project[1])
