@@ -193,7 +193,7 @@ def svh(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def svc(spark: SparkSession, folder: str) -> DataFrame:
-    found = V.validated_cores(E.to_undirected(G.flows(spark, folder)).where("size <= 6"), min_size=2, max_size=4)
+    found = V.validated_cores(E.to_undirected(G.flows(spark, folder)))
     return found.select("size", label(F.col("nodes")).alias("nodes"), "n_observed", "p_value")
 
 

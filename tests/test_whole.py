@@ -9,6 +9,7 @@ from polyad.operators import correlation as R
 from polyad.operators import edges as E
 from polyad.operators import paths as P
 from polyad.operators import reducibility as U
+from polyad.operators import validation as V
 from polyad.plans import analysis as A
 from polyad.plans import graphs as G
 from tests.conftest import DATA
@@ -76,3 +77,9 @@ def test_costs_of_both_methods(spark):
     edges = Hypergraph.from_edges(spark, made(5, 9, 40, (2, 3, 4, 5))).cached().edges
     count, project = U.layer_costs(edges), U.layer_costs(edges, method="project")
     assert count[0] == pytest.approx(project[0]) and count[1] == pytest.approx(project[1])
+
+
+def test_cores_of_all_sizes(spark, monkeypatch):
+    (edges,), options = given(monkeypatch, V, "validated_cores", A.svc, spark)
+    assert edges.agg(F.max("size")).first() == E.to_undirected(G.flows(spark, DATA)).agg(F.max("size")).first()
+    assert options.get("max_size") is None and options.get("min_size", 2) == 2
