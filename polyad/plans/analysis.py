@@ -224,7 +224,7 @@ def motifs_directed(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def motif_profile(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(O.motif_profile(cut(G.parts(spark, folder)), 3, runs=2, steps=20_000), "z", "profile", "mean")
+    return rounded(O.motif_profile(cut(G.parts(spark, folder)), 3), "z", "profile", "mean")
 
 
 @query()

@@ -7,6 +7,7 @@ from polyad import Hypergraph
 from polyad.operators import communities as K
 from polyad.operators import correlation as R
 from polyad.operators import edges as E
+from polyad.operators import motifs as O
 from polyad.operators import paths as P
 from polyad.operators import reducibility as U
 from polyad.operators import validation as V
@@ -83,3 +84,8 @@ def test_cores_of_all_sizes(spark, monkeypatch):
     (edges,), options = given(monkeypatch, V, "validated_cores", A.svc, spark)
     assert edges.agg(F.max("size")).first() == E.to_undirected(G.flows(spark, DATA)).agg(F.max("size")).first()
     assert options.get("max_size") is None and options.get("min_size", 2) == 2
+
+
+def test_null_model_is_mixed(spark, monkeypatch):
+    _, options = given(monkeypatch, O, "motif_profile", A.motif_profile, spark)
+    assert options.get("steps") is None and options.get("runs", 10) >= 10
