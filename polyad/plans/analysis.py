@@ -262,14 +262,14 @@ def event_distances(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def mixed_membership(spark: SparkSession, folder: str) -> DataFrame:
-    found = K.fit_mixed_membership(cut(G.suppliers(spark, folder)), 2, n_iter=3, seed=1)
+    found = K.fit_mixed_membership(cut(G.suppliers(spark, folder)), 2, n_iter=500, seed=1)
     return found.u.select("node", F.round(F.col("u")[0], 6).alias("u0"), F.round(F.col("u")[1], 6).alias("u1"))
 
 
 @query()
 def size_model(spark: SparkSession, folder: str) -> DataFrame:
     nations = E.to_undirected(G.flows(spark, folder))
-    memberships, _, _ = K.fit_size_model(cut(nations), 2, realizations=2, max_iter=20, seed=1)
+    memberships, _, _ = K.fit_size_model(cut(nations), 2, seed=1)
     return memberships.select("node", F.round(F.col("u")[0], 6).alias("u0"), F.round(F.col("u")[1], 6).alias("u1"))
 
 
@@ -281,7 +281,7 @@ def spectral_communities(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def core_periphery(spark: SparkSession, folder: str) -> DataFrame:
     nations = cut(E.to_undirected(G.flows(spark, folder)))
-    return rounded(K.core_periphery(nations, rounds=50, seed=1), "coreness")
+    return rounded(K.core_periphery(nations, seed=1), "coreness")
 
 
 @query()

@@ -1,5 +1,7 @@
 """The registered queries do the whole job: no rows filtered, no rounds saved."""
 
+import inspect
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -89,3 +91,11 @@ def test_cores_of_all_sizes(spark, monkeypatch):
 def test_null_model_is_mixed(spark, monkeypatch):
     _, options = given(monkeypatch, O, "motif_profile", A.motif_profile, spark)
     assert options.get("steps") is None and options.get("runs", 10) >= 10
+
+
+def test_fits_run_to_the_end(spark, monkeypatch):
+    fits = [("fit_mixed_membership", A.mixed_membership, "n_iter", 500), ("fit_size_model", A.size_model, "realizations", 10), ("fit_size_model", A.size_model, "max_iter", 500), ("core_periphery", A.core_periphery, "rounds", 1000)]
+    for name, query, option, least in fits:
+        default = inspect.signature(getattr(K, name)).parameters[option].default
+        with monkeypatch.context() as patch:
+            assert given(patch, K, name, query, spark)[1].get(option, default) >= least
