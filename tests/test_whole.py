@@ -6,9 +6,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from polyad import Hypergraph
+from polyad.errors import InvalidParameterError
 from polyad.operators import communities as K
 from polyad.operators import correlation as R
 from polyad.operators import edges as E
+from polyad.operators import generators as N
 from polyad.operators import motifs as O
 from polyad.operators import paths as P
 from polyad.operators import reducibility as U
@@ -99,3 +101,11 @@ def test_fits_run_to_the_end(spark, monkeypatch):
         default = inspect.signature(getattr(K, name)).parameters[option].default
         with monkeypatch.context() as patch:
             assert given(patch, K, name, query, spark)[1].get(option, default) >= least
+
+
+def test_scale_free_has_all_edges(spark):
+    wanted = {2: 300, 3: 100}
+    found = N.scale_free(spark, 40, wanted, alpha=1.0, seed=1)
+    assert {r["size"]: r["count"] for r in found.groupBy("size").count().collect()} == wanted
+    with pytest.raises(InvalidParameterError):
+        N.scale_free(spark, 4, {2: 7})
