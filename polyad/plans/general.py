@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polyad.operators.balance import balanced_aggregate, number_rows
+from polyad.operators.balance import balanced_aggregate, balanced_apply, number_rows
 from polyad.operators.references import first_deliveries, life_intervals, orphan_references
 from polyad.plans.registry import Registry
 from polyad.plans.tables import table
@@ -47,8 +48,8 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 )
 def p3_nodes(spark: SparkSession, folder: str) -> DataFrame:
     ends = {"n_rows": ("count", F.lit(1)), "first_arrival": ("min", F.col("arrived_at")), "last_arrival": ("max", F.col("arrived_at"))}
-    members = balanced_aggregate(_members(spark, folder), "node", ends | {"weight_sum": ("sum", F.col("weight"))}, chunk=CHUNK)
-    declared = balanced_aggregate(_declared(spark, folder), "node", ends, chunk=CHUNK).withColumn("weight_sum", F.lit(0.0))
+    members = balanced_aggregate(_members(spark, folder), "node", ends | {"weight_sum": ("sum", F.col("weight"))}, chunk=CHUNK, columns=["weight", "arrived_at"])
+    declared = balanced_aggregate(_declared(spark, folder), "node", ends, chunk=CHUNK, columns=["arrived_at"]).withColumn("weight_sum", F.lit(0.0))
     parts = [x.withColumn("field", F.lit(field)) for field, x in (("interaction", members), ("idx", declared))]
     return parts[0].unionByName(parts[1]).select(
         "field", F.col("__key").alias("node"), "n_rows", F.round(F.coalesce("weight_sum", F.lit(0.0)), 4).alias("weight_sum"), "first_arrival", "last_arrival"
@@ -64,6 +65,35 @@ def p3_numbered(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@REGISTRY.query(
+    """WITH held AS (SELECT unnest(interaction) AS node, weight FROM hg_edges)
+SELECT node, count(*) AS n_rows, count(weight) AS n_weights, round(avg(weight), 6) AS mean, round(stddev_pop(weight), 6) AS deviation FROM held WHERE node IS NOT NULL GROUP BY node"""
+)
+def p3_spread(spark: SparkSession, folder: str) -> DataFrame:
+    """Mean and deviation of the weights of each node's records: a state per chunk that is no plain sum."""
+
+    def state(rows: pd.DataFrame) -> pd.DataFrame:
+        grouped = rows.groupby("__key", dropna=False)["weight"]
+        found = grouped.agg(n_rows="size", n_weights="count", mean="mean", spread=lambda x: x.var(ddof=0) * x.count())
+        return found.reset_index()
+
+    def merge(states: pd.DataFrame) -> pd.DataFrame:
+        key, n = states["__key"], states["n_weights"].astype(float)
+        mean, spread = states["mean"].fillna(0.0), states["spread"].fillna(0.0)
+        by_key = lambda x: x.groupby(key, dropna=False)
+        whole = by_key(n).transform("sum")
+        middle = by_key(n * mean).transform("sum") / whole.where(whole > 0)
+        parts = pd.DataFrame({"__key": key, "n_rows": states["n_rows"], "n_weights": states["n_weights"], "mean": n * mean, "variance": spread + n * (mean - middle.fillna(0.0)) ** 2})
+        found = parts.groupby("__key", dropna=False).sum().reset_index()
+        some = found["n_weights"] > 0
+        for c in ("mean", "variance"):
+            found[c] = (found[c] / found["n_weights"].where(some).astype(float)).where(some)
+        return found
+
+    found = balanced_apply(_members(spark, folder), "node", state, "n_rows long, n_weights long, mean double, spread double", merge, "n_rows long, n_weights long, mean double, variance double", columns=["weight"])
+    return found.select(F.col("__key").alias("node"), "n_rows", "n_weights", F.round("mean", 6).alias("mean"), F.round(F.sqrt("variance"), 6).alias("deviation"))
+
+
 REFERS = (("node", "hif_nodes"), ("edge", "hif_edges"))
 ORPHANS_SQL = """WITH placed AS (
   SELECT *, row_number() OVER (PARTITION BY inc_id ORDER BY arrived_at, edge NULLS FIRST, node NULLS FIRST) AS k

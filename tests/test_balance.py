@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from polyad.errors import InvalidParameterError
-from polyad.operators.balance import balanced_aggregate, balanced_apply, chunk_rows, number_rows
+from polyad.operators import balance
+from polyad.operators.balance import balanced_aggregate, balanced_apply, chunk_rows, number_rows, reads_alike
 from polyad.runtime import cut
 
 SCHEMA = "k bigint, v double, n string"
@@ -55,21 +56,26 @@ def test_aggregates(df, rows, chunk):
 def test_any_function_with_ordered_states(df):
     """Longest run of present values in stored order: needs the boundary states in order."""
 
-    def state(part):
-        flags = part["v"].notna().tolist()
-        best = run = 0
-        for x in flags:
-            run = run + 1 if x else 0
-            best = max(best, run)
-        head = flags.index(False) if False in flags else len(flags)
-        return pd.DataFrame({"size": [len(flags)], "head": [head], "tail": [run], "best": [best]})
+    def state(rows):
+        out = []
+        for name, part in rows.groupby("__key", dropna=False, sort=False):
+            flags = part["v"].notna().tolist()
+            best = run = 0
+            for x in flags:
+                run = run + 1 if x else 0
+                best = max(best, run)
+            out.append((name, len(flags), flags.index(False) if False in flags else len(flags), run, best))
+        return pd.DataFrame(out, columns=["__key", "size", "head", "tail", "best"])
 
     def merge(states):
-        best = tail = 0
-        for s in states.itertuples():
-            best = max(best, s.best, tail + s.head)
-            tail = tail + s.size if s.head == s.size else s.tail
-        return pd.DataFrame({"longest": [best]})
+        out = []
+        for name, part in states.groupby("__key", dropna=False):
+            best = tail = 0
+            for s in part.itertuples():
+                best = max(best, s.best, tail + s.head)
+                tail = tail + s.size if s.head == s.size else s.tail
+            out.append((name, best))
+        return pd.DataFrame(out, columns=["__key", "longest"])
 
     got = {r["__key"]: r.longest for r in balanced_apply(df, "k", state, "size long, head long, tail long, best long", merge, "longest long", chunk=130).collect()}
     want = {}
@@ -90,3 +96,46 @@ def test_empty_and_clashes(spark, df):
         chunk_rows(df, "k", chunk=0)
     with pytest.raises(InvalidParameterError):
         balanced_aggregate(df, "k", {"n": ("median", F.col("v"))})
+
+
+def test_input_that_is_no_table(spark, tmp_path):
+    """A grouped frame whose shuffle adaptive execution cuts differently for the counts and for the rows keeps all its rows."""
+    path = str(tmp_path / "rows")
+    spark.range(200_000).select("id", (F.col("id") % 3).alias("k"), F.sha2(F.col("id").cast("string"), 256).alias("text")).write.parquet(path)
+    settings = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "200kB", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        grouped = spark.read.parquet(path).groupBy("id").agg(F.first("k").alias("k"), F.first("text").alias("text"))
+        found = number_rows(grouped, "k").agg(F.count("*"), F.min("__number"), F.max("__number"), F.countDistinct("__number")).first()
+        assert tuple(found) == (200_000, 0, 199_999, 200_000)
+        counts = {r["__key"]: r.n for r in balanced_aggregate(grouped, "k", {"n": ("count", F.lit(1))}, chunk=30_000).collect()}
+        assert counts == {0: 66_667, 1: 66_667, 2: 66_666}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_only_plain_reads_are_read_again(spark, tmp_path):
+    path = str(tmp_path / "rows")
+    spark.range(10).select("id", F.array("id").alias("x")).write.parquet(path)
+    table = spark.read.parquet(path)
+    assert reads_alike(table.select(F.explode("x").alias("y")).where("y > 1").unionByName(table.select(F.col("id").alias("y"))))
+    assert not reads_alike(table.distinct()) and not reads_alike(table.where(F.rand() < 0.5)) and not reads_alike(table.repartition(3))
+
+
+def test_changed_input_is_an_error(spark, df, monkeypatch):
+    """Offsets that don't fit the rows end in an error, never in lost rows."""
+    whole = balance.key_offsets
+    monkeypatch.setattr(balance, "key_offsets", lambda placed, key: whole(placed, key).withColumn("n", F.col("n") - 1))
+    with pytest.raises(Exception, match="other rows or partitions"):
+        number_rows(df, "k").collect()
+    monkeypatch.setattr(balance, "key_offsets", lambda placed, key: whole(placed, key).where("k IS NULL" if key == "k" else f"`{key}` IS NULL"))
+    with pytest.raises(Exception, match="other rows or partitions"):
+        number_rows(df, "k").collect()
+
+
+def test_a_chunk_lies_in_one_partition(df):
+    placed = chunk_rows(df, "k", chunk=250, columns=[]).withColumn("p", F.spark_partition_id()).groupBy("__chunk").agg(F.countDistinct("p").alias("n"), F.count("*").alias("rows")).collect()
+    assert len(placed) == 12 and all((r.n, r.rows) == (1, 250) for r in placed)
