@@ -14,7 +14,7 @@ and fails where they differ, so rows are never lost or numbered twice without an
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
@@ -158,9 +158,23 @@ def balanced_apply(
         found = process(frame).assign(**{CHUNK: frame[CHUNK].iloc[0]})
         return pa.Table.from_pandas(found[states.names], schema=arrow[0], preserve_index=False)
 
-    def of_keys(table: pa.Table) -> pa.Table:
-        found = merge(_frame(table).drop(columns="__bucket").sort_values(["__key", CHUNK], kind="stable"))
-        return pa.Table.from_pandas(found[results.names], schema=arrow[1], preserve_index=False)
-
-    merged = rows.groupBy(CHUNK).applyInArrow(of_chunk, states).withColumn("__bucket", F.pmod(F.xxhash64("__key"), F.lit(4 * BUCKETS)))
-    return merged.groupBy("__bucket").applyInArrow(of_keys, results)
+    def result_of(frame: pd.DataFrame) -> list[pa.RecordBatch]:
+        return pa.Table.from_pandas(merge(frame)[results.names], schema=arrow[1], preserve_index=False).to_batches()
+
+    def of_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            frame = _frame(pa.Table.from_batches([batch]))
+            frame = frame if held is None else pd.concat([held, frame], ignore_index=True)
+            keys = pd.factorize(frame["__key"], use_na_sentinel=False)[0]
+            whole = int((keys == keys[-1]).argmax())  # the last key may go on in the next batch
+            held = frame.iloc[whole:]
+            if whole:
+                yield from result_of(frame.iloc[:whole])
+        if held is not None:
+            yield from result_of(held)
+
+    merged = rows.groupBy(CHUNK).applyInArrow(of_chunk, states)
+    return merged.repartition("__key").sortWithinPartitions("__key", CHUNK).mapInArrow(of_keys, results)

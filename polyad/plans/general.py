@@ -74,8 +74,9 @@ def p3_spread(spark: SparkSession, folder: str) -> DataFrame:
 
     def state(rows: pd.DataFrame) -> pd.DataFrame:
         grouped = rows.groupby("__key", dropna=False)["weight"]
-        found = grouped.agg(n_rows="size", n_weights="count", mean="mean", spread=lambda x: x.var(ddof=0) * x.count())
-        return found.reset_index()
+        off = (rows["weight"] - grouped.transform("mean")) ** 2
+        found = grouped.agg(n_rows="size", n_weights="count", mean="mean")
+        return found.assign(spread=off.groupby(rows["__key"], dropna=False).sum()).reset_index()
 
     def merge(states: pd.DataFrame) -> pd.DataFrame:
         key, n = states["__key"], states["n_weights"].astype(float)
