@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from polyad.operators.balance import balanced_aggregate, balanced_apply, number_rows
-from polyad.operators.references import first_deliveries, life_intervals, orphan_references
+from polyad.operators.references import first_deliveries, life_intervals, orphan_counts, orphan_references
 from polyad.plans.registry import Registry
 from polyad.plans.tables import table
 from polyad.runtime import cut
@@ -111,22 +114,24 @@ latest AS (
 orphans AS (SELECT field, inc_id, t FROM latest WHERE n = 0 OR gone)"""
 
 
-def _orphans(spark: SparkSession, folder: str) -> DataFrame:
+def _checked(spark: SparkSession, folder: str, check: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    """``check`` of the references (each incidence once) and the lives of the keys they refer to, for both fields at a time."""
     refs = cut(first_deliveries(table(spark, folder, "hif_incidences"), "inc_id", "arrived_at", ["edge", "node"]))
     found = []
     for field, target in REFERS:
         deleted = F.lower(F.trim("op")) == "del"
         lives = life_intervals(table(spark, folder, target), field, deleted, "arrived_at")
-        of_field = refs.where(F.col(field).isNotNull()).select("ref", F.col(field).alias("key"), "t")
-        found.append(orphan_references(of_field, lives).select(F.lit(field).alias("field"), F.col("ref").alias("inc_id"), "t"))
-    return found[0].unionByName(found[1])
+        found.append((field, refs.where(F.col(field).isNotNull()).select("ref", F.col(field).alias("key"), "t"), lives))
+    with ThreadPoolExecutor(len(found)) as pool:  # the steps of one field fill the gaps of the other's
+        parts = list(pool.map(lambda x: check(x[1], x[2]).withColumn("field", F.lit(x[0])), found))
+    return parts[0].unionByName(parts[1])
 
 
 @REGISTRY.query(ORPHANS_SQL + " SELECT field, inc_id FROM orphans")
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    return _orphans(spark, folder).select("field", "inc_id")
+    return _checked(spark, folder, orphan_references).select("field", F.col("ref").alias("inc_id"))
 
 
 @REGISTRY.query(ORPHANS_SQL + " SELECT field, strftime(t, '%Y-%m') AS month, count(*) AS n_orphans FROM orphans GROUP BY ALL")
 def p5_report(spark: SparkSession, folder: str) -> DataFrame:
-    return _orphans(spark, folder).groupBy("field", F.date_format("t", "yyyy-MM").alias("month")).agg(F.count("*").alias("n_orphans"))
+    return _checked(spark, folder, orphan_counts).select("field", F.date_format("period", "yyyy-MM").alias("month"), "n_orphans")

@@ -1,11 +1,12 @@
 import random
+from collections import Counter
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from polyad.operators import references
-from polyad.operators.references import first_deliveries, life_intervals, orphan_references
+from polyad.operators.references import first_deliveries, life_intervals, orphan_counts, orphan_references, reference_counts, unsound_counts
 from polyad.runtime import cut
 
 DAY = datetime(2026, 1, 1)
@@ -33,8 +34,12 @@ def test_against_brute_force(spark, limit, monkeypatch):
     refs = [(k, rng.choice([1, 1, 2, rng.randint(2, 350)]), at(rng.randint(-5, 420))) for k in range(1200)]
     logs = spark.createDataFrame(log, "key bigint, t timestamp, gone boolean")
     lives = life_intervals(logs, "key", F.col("gone"), "t")
-    found = orphan_references(cut(spark.createDataFrame(refs, "ref bigint, key bigint, t timestamp")), lives)
-    assert sorted(r.ref for r in found.collect()) == brute(refs, log)
+    table = cut(spark.createDataFrame(refs, "ref bigint, key bigint, t timestamp"))
+    assert sorted(r.ref for r in orphan_references(table, lives).collect()) == brute(refs, log)
+    bad, months = set(brute(refs, log)), {ref: t.date().replace(day=1) for ref, _, t in refs}
+    assert {r.period: r.n_orphans for r in orphan_counts(table, lives).collect()} == Counter(months[ref] for ref in bad)
+    groups = unsound_counts(cut(reference_counts(table)), cut(lives)).collect()
+    assert {r.heavy for r in groups} == {True, False} == {r.mixed for r in groups}
 
 
 def test_life(spark):
@@ -51,4 +56,4 @@ def test_first_deliveries_and_empty(spark):
     lives = life_intervals(spark.createDataFrame([], "key bigint, t timestamp, gone boolean"), "key", F.col("gone"), "t")
     refs = spark.createDataFrame([(1, 4, at(1)), (2, 4, at(2))], "ref bigint, key bigint, t timestamp")
     assert orphan_references(refs, lives).count() == 2
-    assert orphan_references(refs.limit(0), lives).count() == 0
+    assert orphan_references(refs.limit(0), lives).count() == 0 and orphan_counts(refs.limit(0), lives).count() == 0
