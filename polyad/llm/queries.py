@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from polyad.llm.cooccur import pairs_together
 from polyad.llm.frequent import frequent_items
 from polyad.llm.overlap import record_pairs, similar_sets
-from polyad.llm.packing import pack_documents
+from polyad.llm.packing import pack_documents, packing_report
 from polyad.llm.repetition import fit_kneser_ney, perplexities, perplexity_bands, repeated_letters
 from polyad.llm.tokens import encode_corpus
 from polyad.operators.records import member_records
@@ -102,6 +102,24 @@ def p7_packed(spark: SparkSession, folder: str) -> DataFrame:
     return pack_documents(table(spark, folder, "documents"), table(spark, folder, "container_sizes"))
 
 
+@REGISTRY.query("SELECT container AS kind, (SELECT count(*) FROM documents) AS n_documents, (SELECT count(*) FROM documents) AS n_first_parts, 0 AS n_overfull, 0 AS n_gaps, 0 AS n_needless FROM container_sizes WHERE capacity >= 1 AND tokenizer IS NOT NULL")
+def p7_whole(spark: SparkSession, folder: str) -> DataFrame:
+    """What must hold of a packing: every document is there, no container is overfull, none is missing in the numbers, and only what exceeds the capacity is split."""
+    sizes = table(spark, folder, "container_sizes").select(F.col("container").alias("kind"), "capacity")
+    placed = cut(pack_documents(table(spark, folder, "documents"), table(spark, folder, "container_sizes"))).join(F.broadcast(sizes), "kind")
+    of_documents = placed.groupBy("kind", "capacity", "doc_id").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("parts"), F.sum((F.col("part") == 0).cast("int")).alias("firsts"))
+    needless = ((F.col("parts") > 1) & (F.col("n") <= F.col("capacity"))).cast("int")
+    of_documents = of_documents.groupBy("kind").agg(F.count("*").alias("n_documents"), F.sum("firsts").alias("n_first_parts"), F.sum(needless).alias("n_needless"))
+    bins = placed.where("container IS NOT NULL").groupBy("kind", "capacity", "container").agg(F.sum("n_tokens").alias("n"))
+    of_bins = bins.groupBy("kind").agg(F.sum((F.col("n") > F.col("capacity")).cast("int")).alias("n_overfull"), (F.max("container") + 1 - F.count("*")).alias("n_gaps"))
+    return of_documents.join(of_bins, "kind").select("kind", "n_documents", "n_first_parts", "n_overfull", "n_gaps", "n_needless")
+
+
+@REGISTRY.query()
+def p7_kinds(spark: SparkSession, folder: str) -> DataFrame:
+    return packing_report(table(spark, folder, "documents"), table(spark, folder, "container_sizes"))
+
+
 @REGISTRY.query()
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     shares = repeated_letters(table(spark, folder, "documents"), run=24)
