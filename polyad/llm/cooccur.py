@@ -27,7 +27,7 @@ from polyad.runtime import bounded_rows, cut
 BLOCK = 32_768
 #: Light items' memberships that probe at once, and pairs of a wide record made at once.
 PROBES = 8_192
-#: A record with more light members than this has its pairs made by many tasks.
+#: Light members of a record are cut into blocks of this many; a record's pairs are made by pairs of blocks.
 WIDE = 256
 
 
@@ -125,27 +125,50 @@ def pairs_together(records: DataFrame, *, min_count: int = 1, heavy_share: float
     n_records = records.count()
     memberships = records.agg(F.sum(F.size("members"))).first()[0] or 0
     most = int(1 / heavy_share)
-    heavy = [r.item for r in bounded_rows(counts.where(F.col("n_item") >= F.lit(max(1.0, memberships * heavy_share))).select("item"), most, "heavy items")]
+    heavy = {r.item: r.n_item for r in bounded_rows(counts.where(F.col("n_item") >= F.lit(max(1.0, memberships * heavy_share))), most, "heavy items")}
     if min_count > 1:
-        records = _without_rare(records, counts, heavy)
+        records = _without_rare(records, counts, list(heavy))
+    found = _light_pairs(records, list(heavy))
+    if heavy:
+        found = found.unionByName(records.select("members").mapInArrow(_dense_pairs(np.array(list(heavy), dtype=np.int64)), "a bigint, b bigint, n bigint"))
+    scored = found.groupBy("a", "b").agg(F.sum("n").alias("n_both")).where(F.col("n_both") >= min_count)
+    for side, other in ("ab", "ba"):
+        scored = _with_count(scored, side, other, counts, heavy)
+    lift = F.col("n_both").cast("double") * F.lit(n_records) / (F.col("n_a").cast("double") * F.col("n_b"))
+    return scored.select(F.col("a").alias("item_a"), F.col("b").alias("item_b"), "n_both", "n_a", "n_b", F.lit(n_records).cast("bigint").alias("n_records"), lift.alias("lift"))
+
+
+def _light_pairs(records: DataFrame, heavy: list[int]) -> DataFrame:
+    """``a`` < ``b``, ``n`` = 1 for every record's pairs of light items.
+
+    A record's light items are cut into blocks, and every two of its blocks (or one with itself) make the
+    pairs between them. Most records are one block and stay where they are; of the others every pair of blocks goes
+    to a task of its own, with two blocks of items whatever the record's length.
+    """
     heavy_array = F.array(*[F.lit(x) for x in heavy]).cast("array<bigint>")
     light = records.select(F.array_sort(F.array_except("members", heavy_array)).alias("light")).where(F.size("light") > 1)
-    firsts = F.explode(F.sequence(F.lit(1), F.size("light") - 1))
-    usual = light.where(F.size("light") <= WIDE).select("light", firsts.alias("k"))
-    wide = light.where(F.size("light") > WIDE).select("light", firsts.alias("k")).repartition("k", "light")
-    pairs = [
-        part.select(F.element_at("light", F.col("k")).alias("a"), F.explode(F.expr("slice(light, k + 1, size(light))")).alias("b"), F.lit(1).cast("bigint").alias("n"))
-        for part in (usual, wide)
-    ]
-    found = pairs[0].unionByName(pairs[1])
-    if heavy:
-        found = found.unionByName(records.select("members").mapInArrow(_dense_pairs(np.array(heavy, dtype=np.int64)), "a bigint, b bigint, n bigint"))
-    counted = found.groupBy("a", "b").agg(F.sum("n").alias("n_both")).where(F.col("n_both") >= min_count)
-    of_a = counts.select(F.col("item").alias("a"), F.col("n_item").alias("n_a"))
-    of_b = counts.select(F.col("item").alias("b"), F.col("n_item").alias("n_b"))
-    scored = counted.join(of_a, "a").join(of_b, "b").withColumn("n_records", F.lit(n_records).cast("bigint"))
-    lift = F.col("n_both").cast("double") * F.col("n_records") / (F.col("n_a").cast("double") * F.col("n_b"))
-    return scored.select(F.col("a").alias("item_a"), F.col("b").alias("item_b"), "n_both", "n_a", "n_b", "n_records", lift.alias("lift"))
+    one = light.where(F.size("light") <= WIDE).select(F.col("light").alias("x"), F.col("light").alias("y"), F.lit(True).alias("same"))
+    blocks = F.expr(f"transform(sequence(0, (size(light) - 1) div {WIDE}), k -> slice(light, k * {WIDE} + 1, {WIDE}))")
+    many = light.where(F.size("light") > WIDE).select(F.monotonically_increasing_id().alias("of"), F.posexplode(blocks).alias("i", "x"), "light")
+    # the second block is cut from the rest of the record only after the first has been chosen
+    many = many.select("of", "i", "x", F.posexplode(F.expr(f"transform(sequence(i, (size(light) - 1) div {WIDE}), k -> slice(light, k * {WIDE} + 1, {WIDE}))")).alias("j", "y"))
+    many = many.repartition("of", "i", "j").select("x", "y", (F.col("j") == 0).alias("same"))
+    both = one.unionByName(many).select(F.posexplode("x").alias("k", "a"), "y", "same")
+    later = F.when(F.col("same"), F.expr("slice(y, k + 2, size(y))")).otherwise(F.col("y"))
+    return both.select("a", F.explode(later).alias("b"), F.lit(1).cast("bigint").alias("n"))
+
+
+def _with_count(pairs: DataFrame, side: str, other: str, counts: DataFrame, heavy: dict[int, int]) -> DataFrame:
+    """``pairs`` with ``n_`` of one side: of heavy items from a table of at most 1 / share rows, of light ones by a join.
+
+    In the join the pairs of a heavy item, which may be very many, are spread by their other item and meet nothing.
+    """
+    spark = pairs.sparkSession
+    known = spark.createDataFrame(list(heavy.items()), f"{side} bigint, known bigint")
+    pairs = pairs.join(F.broadcast(known), side, "left").withColumn("light", F.col("known").isNull()).withColumn("by", F.coalesce(F.when(F.col("light"), F.col(side)), F.col(other)))
+    light = counts.join(F.broadcast(known.select(F.col(side).alias("item"))), "item", "left_anti").select(F.lit(True).alias("light"), F.col("item").alias("by"), F.col("n_item").alias("found"))
+    joined = pairs.join(light, ["light", "by"], "left")
+    return joined.withColumn(f"n_{side}", F.coalesce("known", "found")).drop("light", "by", "known", "found")
 
 
 def _without_rare(records: DataFrame, counts: DataFrame, heavy: list[int]) -> DataFrame:

@@ -42,6 +42,23 @@ def test_against_brute_force(spark, share, monkeypatch):
         assert run(spark, rows, least, heavy_share=share) == brute(rows, least)
 
 
+def test_very_wide_record(spark):
+    """50,000 members in one record: only those that other records have as well can be in a pair, and these are found."""
+    rows = [(k, [k % 600, (k + 1) % 600, 100_000 + k % 3], None, None, None) for k in range(4000)] + [(9000 + k, list(range(50_000)), "wide", 0, None) for k in range(2)]
+    found = run(spark, rows, 6)
+    narrow = brute(rows[:4000], 1)
+    want = {pair: (n + 2 * (pair[1] < 600), *_) for pair, (n, *_) in narrow.items() if n + 2 * (pair[1] < 600) >= 6}
+    assert set(found) == set(want) and all(found[p][0] == want[p][0] for p in found)
+
+
+def test_blocks_of_wide_records(spark, monkeypatch):
+    """Every pair of a wide record comes out once, whatever the block."""
+    rows = [(k, list(range(k * 7, k * 7 + 83 + k)), None, None, None) for k in range(4)]
+    for width in (7, 41, 83, 500):
+        monkeypatch.setattr(cooccur, "WIDE", width)
+        assert run(spark, rows, 1, heavy_share=1.0) == brute(rows, 1)
+
+
 def test_one_item_in_everything_and_empty(spark):
     rows = [(k, [0, k % 3 + 1], None, None, None) for k in range(90)]
     assert run(spark, rows, 12) == brute(rows, 12)
