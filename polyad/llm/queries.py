@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from polyad.llm.cooccur import pairs_together
 from polyad.llm.frequent import frequent_items
-from polyad.llm.overlap import record_pairs, similar_sets
+from polyad.llm.overlap import record_links, record_pairs, similar_between, similar_sets
 from polyad.llm.packing import pack_documents, packing_report
 from polyad.llm.repetition import fit_kneser_ney, perplexities, perplexity_bands, repeated_letters
 from polyad.llm.tokens import encode_corpus
@@ -59,21 +59,47 @@ def p1_lift(spark: SparkSession, folder: str) -> DataFrame:
     return _together(spark, folder).select("node_a", "node_b", "n_both", F.round("lift", 6).alias("lift"))
 
 
-@REGISTRY.query(
-    f"""WITH {MEMBERS_SQL},
+SIMILAR_SQL = f"""WITH {MEMBERS_SQL},
 sized AS (SELECT edge_id, count(*) AS n FROM members GROUP BY 1 HAVING count(*) >= 6),
 held AS (SELECT m.edge_id, m.node, s.n FROM members m JOIN sized s USING (edge_id)),
 met AS (
   SELECT a.edge_id AS edge_a, b.edge_id AS edge_b, a.n AS na, b.n AS nb, count(*) AS c
   FROM held a JOIN held b ON a.node = b.node AND a.edge_id < b.edge_id AND 10 * a.n >= 6 * b.n AND 10 * b.n >= 6 * a.n
-  GROUP BY ALL)
-SELECT edge_a, edge_b FROM met WHERE 10 * c >= 6 * (na + nb - c)"""
-)
+  GROUP BY ALL)"""
+
+
+@REGISTRY.query(SIMILAR_SQL + " SELECT edge_a, edge_b FROM met WHERE 10 * c >= 6 * (na + nb - c)")
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     classes, pairs = similar_sets(_records(spark, folder), threshold="0.6", least=6)
     return record_pairs(classes, pairs).withColumnsRenamed({"record_a": "edge_a", "record_b": "edge_b"})
 
 
+@REGISTRY.query(
+    SIMILAR_SQL
+    + """, pairs AS (SELECT edge_a, edge_b FROM met WHERE 10 * c >= 6 * (na + nb - c)), ends AS (SELECT edge_a AS e FROM pairs UNION ALL SELECT edge_b FROM pairs),
+sets AS (SELECT edge_id, list_sort(list(node)) AS s FROM held GROUP BY edge_id)
+SELECT edge_id, min(edge_id) OVER (PARTITION BY s) AS class, (SELECT count(*) FROM ends WHERE e = edge_id) AS n_links FROM sets"""
+)
+def p2_links(spark: SparkSession, folder: str) -> DataFrame:
+    """Every record once, with its class and how many records are similar to it."""
+    classes, pairs = similar_sets(_records(spark, folder), threshold="0.6", least=6)
+    return record_links(classes, pairs).withColumnRenamed("record", "edge_id")
+
+
+@REGISTRY.query(
+    f"""WITH {MEMBERS_SQL}, others AS (SELECT DISTINCT edge, node FROM hif_incidences WHERE edge IS NOT NULL AND node IS NOT NULL),
+a AS (SELECT edge_id AS e, node, count(*) OVER (PARTITION BY edge_id) AS n FROM members), b AS (SELECT edge AS e, node, count(*) OVER (PARTITION BY edge) AS n FROM others),
+met AS (SELECT a.e AS edge_a, b.e AS edge_b, a.n AS na, b.n AS nb, count(*) AS c FROM a JOIN b ON a.node = b.node AND 10 * a.n >= 6 * b.n AND 10 * b.n >= 6 * a.n WHERE a.n >= 4 AND b.n >= 4 GROUP BY ALL)
+SELECT edge_a, edge_b FROM met WHERE 10 * c >= 6 * (na + nb - c)"""
+)
+def p2_between(spark: SparkSession, folder: str) -> DataFrame:
+    """Records of one export that are similar to edges of the other, from 4 members on."""
+    rows = table(spark, folder, "hif_incidences").where("edge IS NOT NULL AND node IS NOT NULL")
+    others = member_records(rows.groupBy("edge").agg(F.collect_set("node").alias("nodes")), "edge", "nodes")
+    found = similar_between(_records(spark, folder), others, threshold="0.6", least=4)
+    return found.withColumnsRenamed({"record_a": "edge_a", "record_b": "edge_b"})
+
+
 @REGISTRY.query(
     f"""WITH {MEMBERS_SQL}, total AS (SELECT count(*) AS n FROM members)
 SELECT node FROM members GROUP BY node HAVING count(*) * 100 >= (SELECT n FROM total)"""
