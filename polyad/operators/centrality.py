@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from polyad.errors import InvalidParameterError
 from polyad.operators.edges import node_table
 from polyad.operators.matrices import adjacency
-from polyad.runtime import bounded_rows, cut
+from polyad.runtime import Rounds, bounded_rows, cut
 
 #: Nodes up to which a dense matrix is solved on the driver.
 DENSE = 3_000
@@ -36,9 +36,10 @@ def _scaled(x: DataFrame, norm: str) -> DataFrame:
 
 
 def _until_stable(first: DataFrame, step, norm: str, tol: float, max_iter: int) -> DataFrame:
-    x = cut(_scaled(first, norm))
+    rounds = Rounds()
+    x = rounds.cut(_scaled(first, norm))
     for _ in range(max_iter):
-        new = cut(_scaled(step(x), norm))
+        new = rounds.cut(_scaled(step(x), norm))
         gap = new.join(x.withColumnRenamed("x", "old"), "node").agg(F.sqrt(F.sum((F.col("x") - F.col("old")) ** 2))).first()[0] or 0.0
         x = new
         if gap < tol:

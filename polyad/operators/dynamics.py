@@ -13,7 +13,7 @@ from polyad.errors import InvalidParameterError, MissingNodeError
 from polyad.operators.edges import node_table
 from polyad.operators.matrices import transition_matrix
 from polyad.operators.projections import node_pairs
-from polyad.runtime import cut
+from polyad.runtime import Rounds, cut
 
 
 def walk_density(edges: DataFrame, start: DataFrame, steps: int) -> DataFrame:
@@ -71,7 +71,8 @@ def contagion(edges: DataFrame, infected: DataFrame, steps: int, *, beta: float,
         raise InvalidParameterError("probabilities lie between 0 and 1")
     every = cut(node_table(edges, nodes))
     held = cut(edges.where("size(nodes) IN (2, 3)").select("edge_id", F.size("nodes").alias("k"), F.explode("nodes").alias("node")))
-    now = cut(every.join(infected.select("node").distinct(), "node", "left_semi"))
+    rounds = Rounds()
+    now = rounds.cut(every.join(infected.select("node").distinct(), "node", "left_semi"))
     n, shares = every.count(), []
     for step in range(steps):
         count = now.count()
@@ -86,7 +87,7 @@ def contagion(edges: DataFrame, infected: DataFrame, steps: int, *, beta: float,
         safe = F.pow(F.lit(1 - beta), F.col("pairs")) * F.pow(F.lit(1 - beta_d), F.col("triples"))
         caught = threat.where(_uniform(seed, 2 * step, "node") < 1 - safe).select("node")
         stay = now.where(_uniform(seed, 2 * step + 1, "node") >= mu).select("node")
-        now = cut(stay.unionByName(caught))
+        now = rounds.cut(stay.unionByName(caught))
     return edges.sparkSession.createDataFrame(shares, "step int, share double")
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from polyad.errors import InvalidParameterError
 from polyad.operators.edges import by_size, node_table
 from polyad.operators.projections import node_pairs
-from polyad.runtime import bounded_rows, cut
+from polyad.runtime import Rounds, bounded_rows, cut
 
 #: Vertices and links of a graph up to which measures of all pairs of vertices are computed.
 ALL_PAIRS = 50_000
@@ -41,7 +41,8 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None, *, or
     every = cut(node_table(edges, nodes))
     used = by_size(edges, order=order, size=size)
     links = used.select(F.explode("nodes").alias("u"), F.array_min("nodes").alias("v")).where("u != v").distinct()
-    links = cut(links)
+    rounds = Rounds()
+    links = rounds.cut(links)
     before = _mark(links)
     while True:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -52,7 +53,7 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None, *, or
         down = large.where("v < u")
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        links = cut(small)
+        links = rounds.cut(small)
         if (now := _mark(links)) == before:
             break
         before = now
@@ -80,15 +81,16 @@ def reach(edges: DataFrame, starts: DataFrame, *, max_depth: int | None = None,
     A round goes from the frontier to its edges and on to their nodes, so no table of node pairs is made.
     """
     held = cut(by_size(edges, order=order, size=size).select("edge_id", F.explode("nodes").alias("node")))
-    found = cut(starts.select("node").distinct().withColumn("hops", F.lit(0)))
+    whole, fronts = Rounds(), Rounds()
+    found = whole.cut(starts.select("node").distinct().withColumn("hops", F.lit(0)))
     frontier, depth = found.select("node"), 0
     while max_depth is None or depth < max_depth:
         depth += 1
         met = held.join(frontier, "node", "left_semi").select("edge_id").distinct()
-        new = cut(held.join(met, "edge_id", "left_semi").select("node").distinct().join(found.select("node"), "node", "left_anti"))
+        new = fronts.cut(held.join(met, "edge_id", "left_semi").select("node").distinct().join(found.select("node"), "node", "left_anti"))
         if new.isEmpty():
             break
-        found = cut(found.unionByName(new.withColumn("hops", F.lit(depth))))
+        found = whole.cut(found.unionByName(new.withColumn("hops", F.lit(depth))))
         frontier = new
     return found
 
@@ -100,16 +102,17 @@ def graph_distances(links: DataFrame, *, max_hops: int | None = None) -> DataFra
     pair: meant for graphs whose pairs can be stored.
     """
     links = cut(links.select("a", "b").distinct())
-    found = cut(links.select("a", "b", F.lit(1).alias("hops"), F.lit(1).cast("double").alias("paths")))
+    whole, steps = Rounds(), Rounds()
+    found = whole.cut(links.select("a", "b", F.lit(1).alias("hops"), F.lit(1).cast("double").alias("paths")))
     step, hops = found, 1
     while max_hops is None or hops < max_hops:
         hops += 1
         ahead = step.select("a", F.col("b").alias("via"), "paths").join(links.withColumnsRenamed({"a": "via"}), "via").where("a != b")
         new = ahead.groupBy("a", "b").agg(F.sum("paths").alias("paths")).join(found.select("a", "b"), ["a", "b"], "left_anti")
-        step = cut(new.select("a", "b", F.lit(hops).alias("hops"), "paths"))
+        step = steps.cut(new.select("a", "b", F.lit(hops).alias("hops"), "paths"))
         if step.isEmpty():
             break
-        found = cut(found.unionByName(step))
+        found = whole.cut(found.unionByName(step))
     return found
 
 
@@ -386,7 +389,8 @@ def shortest_paths(edges: DataFrame, *, option: str = "min", max_hops: int | Non
         raise InvalidParameterError("option is min, max or mean")
     steps = step_sizes(edges).select("a", "b", F.col(f"{option}_size").cast("double").alias("size"), "redundancy")
     links = cut(steps.unionByName(steps.select(F.col("b").alias("a"), F.col("a").alias("b"), "size", "redundancy")))
-    found = cut(links.select("a", "b", F.lit(1).alias("hops"), F.array("a", "b").alias("path"), F.array("size").alias("sizes"), F.array("redundancy").alias("redundancies")))
+    rounds, steps = Rounds(), Rounds()
+    found = rounds.cut(links.select("a", "b", F.lit(1).alias("hops"), F.array("a", "b").alias("path"), F.array("size").alias("sizes"), F.array("redundancy").alias("redundancies")))
     step, hops = found, 1
     while max_hops is None or hops < max_hops:
         hops += 1
@@ -394,10 +398,10 @@ def shortest_paths(edges: DataFrame, *, option: str = "min", max_hops: int | Non
         ahead = ahead.join(found.select("a", "b"), ["a", "b"], "left_anti")
         whole = F.struct(F.concat("path", F.array("b")).alias("path"), F.concat("sizes", F.array("size")).alias("sizes"), F.concat("redundancies", F.array("redundancy")).alias("redundancies"))
         best = ahead.groupBy("a", "b").agg(F.min(whole).alias("best"))
-        step = cut(best.select("a", "b", F.lit(hops).alias("hops"), "best.*"))
+        step = steps.cut(best.select("a", "b", F.lit(hops).alias("hops"), "best.*"))
         if step.isEmpty():
             break
-        found = cut(found.unionByName(step))
+        found = rounds.cut(found.unionByName(step))
     mean = F.aggregate("sizes", F.lit(0.0), lambda s, x: s + x) / F.size("sizes")
     return found.withColumn("mean_size", mean)
 
@@ -444,16 +448,17 @@ def temporal_paths(edges: DataFrame) -> DataFrame:
     A way starts at any active time of ``a`` and follows the arcs of ``supra_adjacency``; waiting at a node is a hop.
     """
     arcs = cut(supra_adjacency(edges))
-    best = cut(arcs.select(F.col("node").alias("a"), F.col("time").alias("t0"), F.col("to_node").alias("b"), F.col("to_time").alias("t"), F.lit(1).alias("hops")))
+    whole, fronts = Rounds(), Rounds()
+    best = whole.cut(arcs.select(F.col("node").alias("a"), F.col("time").alias("t0"), F.col("to_node").alias("b"), F.col("to_time").alias("t"), F.lit(1).alias("hops")))
     front, hops = best, 1
     while True:
         hops += 1
         ahead = front.select("a", "t0", F.col("b").alias("node"), F.col("t").alias("time")).join(arcs, ["time", "node"])
         new = ahead.select("a", "t0", F.col("to_node").alias("b"), F.col("to_time").alias("t")).distinct().join(best.select("a", "t0", "b", "t"), ["a", "t0", "b", "t"], "left_anti")
-        front = cut(new.withColumn("hops", F.lit(hops)))
+        front = fronts.cut(new.withColumn("hops", F.lit(hops)))
         if front.isEmpty():
             break
-        best = cut(best.unionByName(front))
+        best = whole.cut(best.unionByName(front))
     ways = best.where("a != b").withColumn("delay", F.col("t") - F.col("t0"))
     picked = ways.groupBy("a", "b").agg(F.min(F.struct("delay", "hops")).alias("fast"), F.min(F.struct("hops", "delay")).alias("short"))
     return picked.select("a", "b", F.col("fast.delay").alias("delay"), F.col("fast.hops").alias("delay_hops"), F.col("short.hops").alias("hops"), F.col("short.delay").alias("hops_delay"))

@@ -32,6 +32,21 @@ def shared_root(spark: SparkSession) -> str:
     return _local_roots[app]
 
 
+def _path(spark: SparkSession, path: str):
+    """A Hadoop path with the file system that it belongs to, which need not be named in it."""
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return found, found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def is_mounted(spark: SparkSession) -> bool:
+    """Whether the shared folder is one of files, so that workers can open what lies there by its plain path.
+
+    A root without a scheme belongs to the cluster's default file system, which need not be that of files.
+    """
+    path, fs = _path(spark, shared_root(spark))
+    return fs.makeQualified(path).toUri().getScheme() == "file"
+
+
 def session_root(spark: SparkSession) -> str:
     """This application's part of the shared folder."""
     return f"{shared_root(spark)}/polyad/{spark.sparkContext.applicationId}"
@@ -42,19 +57,49 @@ def cut(df: DataFrame) -> DataFrame:
 
     A table on the shared folder survives the loss of any executor. ``release`` removes the tables.
     """
-    spark = df.sparkSession
-    path = f"{session_root(spark)}/{uuid.uuid4().hex}"
+    return _written(df, _new_path(df.sparkSession))
+
+
+def _new_path(spark: SparkSession) -> str:
+    return f"{session_root(spark)}/{uuid.uuid4().hex}"
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
     schema = df.schema
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    return df.sparkSession.read.schema(schema).parquet(path)
+
+
+def drop(spark: SparkSession, paths: list[str]) -> None:
+    """Remove tables that ``cut`` wrote."""
+    for name in paths:
+        path, fs = _path(spark, name)
+        fs.delete(path, True)
 
 
 def release(spark: SparkSession) -> None:
     """Remove every table that ``cut`` wrote in this application."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(session_root(spark))
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(path, True)
+    drop(spark, [session_root(spark)])
+
+
+class Rounds:
+    """Tables of a loop: the table of round k is removed once that of round k + 2 is written.
+
+    Round k + 1 may still be compared with k; whatever the caller keeps must be written by ``cut`` itself
+    or be the table of the last round.
+    """
+
+    def __init__(self) -> None:
+        self.paths: list[tuple[SparkSession, str]] = []
+
+    def cut(self, df: DataFrame) -> DataFrame:
+        spark, path = df.sparkSession, _new_path(df.sparkSession)
+        found = _written(df, path)
+        self.paths.append((spark, path))
+        while len(self.paths) > 2:
+            old, gone = self.paths.pop(0)
+            drop(old, [gone])
+        return found
 
 
 def bounded_rows(df: DataFrame, bound: int, what: str) -> list:
