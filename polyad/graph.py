@@ -6,7 +6,7 @@ Every method returns a DataFrame, a number, or a new ``Hypergraph``; nothing is
 from __future__ import annotations
 
 from collections.abc import Iterable
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, fields, replace
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from polyad.errors import InvalidParameterError, MissingEdgeError, MissingNodeError
 from polyad.operators import centrality, degree, dynamics, edges as E, matrices, motifs, paths, projections, reducibility, validation
 from polyad.runtime import cut
-from polyad.sources.files import Stored, content_hash, read_hypergraph, write_hypergraph
+from polyad.sources.files import TYPES, Stored, content_hash, read_hypergraph, write_hypergraph
 
 
 @dataclass(frozen=True)
@@ -134,7 +134,7 @@ class Hypergraph:
         """Without nodes, and without their edges or (``keep_edges``) with these made smaller; a node that isn't there is an error."""
         if not gone.join(self.nodes, "node", "left_anti").isEmpty():
             raise MissingNodeError("a node to remove isn't there")
-        return self._with(E.remove_nodes(self.edges, gone, keep_edges=keep_edges, duplicate=self.duplicate), self.nodes.join(gone, "node", "left_anti"))
+        return self._with(E.remove_nodes(self.edges, gone, keep_edges=keep_edges, duplicate=self.duplicate, metadata=self.metadata), self.nodes.join(gone, "node", "left_anti"))
 
     def clear(self) -> Hypergraph:
         return self._with(self.edges.limit(0), self.nodes.limit(0))
@@ -273,6 +273,23 @@ class Hypergraph:
     def num_edges(self, **of: Any) -> int:
         return E.by_size(self.edges, **of).count()
 
+    def node_view(self) -> NodeView:
+        return NodeView(self)
+
+    def tables(self) -> dict[str, Any]:
+        """All that the object holds, by name; ``from_tables`` takes it back."""
+        return {f.name: getattr(self, f.name) for f in fields(self)}
+
+    @classmethod
+    def from_tables(cls, tables: dict[str, Any]) -> Hypergraph:
+        return cls(**tables)
+
+    def relabeled(self) -> tuple[Hypergraph, DataFrame]:
+        """With nodes 0, 1, ... in the order of their text, and the mapping (``node``, ``id``)."""
+        mapping = cut(E.dense_ids(self.nodes))
+        nodes = self.nodes.join(mapping, "node").select(F.col("id").alias("node"), "meta")
+        return self._with(E.relabel(self.edges, mapping), nodes), mapping
+
     def sizes(self) -> DataFrame:
         return E.size_distribution(self.edges)
 
@@ -308,8 +325,11 @@ class Hypergraph:
         found, nodes = E.filter_hypergraph(self.edges, self.nodes, **options)
         return self._with(found, self.nodes.join(nodes.select("node"), "node", "left_semi"))
 
-    def to_undirected(self) -> Hypergraph:
-        return Hypergraph(E.to_undirected(self.edges), self.nodes, meta=self.meta)
+    def to_undirected(self, *, keep_node_meta: bool = True, keep_edge_meta: bool = True, keep_meta: bool = True) -> Hypergraph:
+        """Time, layer or direction dropped; weights summed and metadata merged. Each kind of metadata may be left behind."""
+        nodes = self.nodes if keep_node_meta else self.nodes.withColumn("meta", F.lit(None).cast(self.nodes.schema["meta"].dataType))
+        meta = {**(self.meta or {}), "converted_from": TYPES[self.kind]} if keep_meta else None
+        return Hypergraph(E.to_undirected(self.edges, keep_meta=keep_edge_meta), nodes, meta=meta)
 
     def windows(self, width: int) -> DataFrame:
         self._needs("temporal")
@@ -383,6 +403,31 @@ class Hypergraph:
         return reducibility.reducibility(self.edges, self.nodes, **options)
 
 
+@dataclass(frozen=True)
+class NodeView:
+    """The nodes, with filters on their metadata and degree that run when the frame is used."""
+
+    graph: Hypergraph
+    tests: tuple[Column, ...] = ()
+
+    def attribute(self, name: str, value: str) -> NodeView:
+        return replace(self, tests=(*self.tests, F.coalesce(F.element_at("meta", name) == value, F.lit(False))))
+
+    def degree(self, least: int = 0, most: int | None = None) -> NodeView:
+        test = F.col("degree") >= least if most is None else F.col("degree").between(least, most)
+        return replace(self, tests=(*self.tests, test))
+
+    def frame(self) -> DataFrame:
+        """``node``, ``meta`` and ``degree``."""
+        found = self.graph.nodes.join(self.graph.degrees(), "node", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+        for test in self.tests:
+            found = found.where(test)
+        return found
+
+    def __contains__(self, node: Any) -> bool:
+        return self.graph.check_node(node)
+
+
 @dataclass(frozen=True)
 class EdgeView:
     """Filters on edges that add up and run when the frame is used. A filter that contradicts another is an error."""

@@ -15,6 +15,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pyspark.sql.types import ArrayType
+
 from polyad.errors import InvalidParameterError
 from polyad.functions.columns import canonical
 from polyad.runtime import cut
@@ -32,13 +34,21 @@ def kind_of(edges: DataFrame) -> str:
     return "undirected"
 
 
+def _is_merged(rows: DataFrame) -> bool:
+    return isinstance(rows.schema["meta"].dataType.valueType, ArrayType)
+
+
 def merged_meta(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Per key, every name with its distinct values in ascending order: MAP<STRING, ARRAY<STRING>>.
 
     Equal values stay one; contradicting values stand side by side. Merging is done on distinct
-    (name, value) pairs, so a key of very many rows is reduced before the shuffle.
+    (name, value) pairs, so a key of very many rows is reduced before the shuffle. Metadata that has been
+    merged before, with arrays for values, is merged further.
     """
-    pairs = rows.select(*keys, F.explode("meta").alias("name", "value")).where(F.col("value").isNotNull()).distinct()
+    pairs = rows.select(*keys, F.explode("meta").alias("name", "value"))
+    if _is_merged(rows):
+        pairs = pairs.select(*keys, "name", F.explode("value").alias("value"))
+    pairs = pairs.where(F.col("value").isNotNull()).distinct()
     named = pairs.groupBy(*keys, "name").agg(F.array_sort(F.collect_set("value")).alias("values"))
     return named.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "values")))).alias("meta"))
 
@@ -87,6 +97,8 @@ def upsert(rows: DataFrame, *, kind: str = "undirected", duplicate: str = "accum
 def add_edges(edges: DataFrame, rows: DataFrame, **policy: Any) -> DataFrame:
     """Edges with more rows (``seq`` above all that made ``edges``), by the policies of ``upsert``."""
     old = edges.withColumnRenamed("edge_id", "seq").drop("size")
+    if "meta" in old.columns and "meta" in rows.columns and _is_merged(old) and not _is_merged(rows):
+        rows = rows.withColumn("meta", F.transform_values("meta", lambda k, v: F.array(v)))
     return upsert(old.unionByName(rows, allowMissingColumns=True), kind=kind_of(edges), **policy)
 
 
@@ -110,10 +122,10 @@ def node_table(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     return (found if nodes is None else found.unionByName(nodes.select("node"))).distinct()
 
 
-def remove_nodes(edges: DataFrame, gone: DataFrame, *, keep_edges: bool = False, duplicate: str = "accumulate_weight") -> DataFrame:
-    """Without the nodes of ``gone``: their edges go too, or shrink (``keep_edges``) and meet others by the policy.
+def remove_nodes(edges: DataFrame, gone: DataFrame, *, keep_edges: bool = False, duplicate: str = "accumulate_weight", metadata: str = "merge") -> DataFrame:
+    """Without the nodes of ``gone``: their edges go too, or shrink (``keep_edges``) and meet others by the policies.
 
-    Edges that lose all nodes go.
+    Edges that lose all nodes go; edges that become equal have their metadata merged by ``metadata``.
     """
     touched = incidences(edges).join(gone.select("node").distinct(), "node", "left_semi").select("edge_id").distinct()
     if not keep_edges:
@@ -126,7 +138,7 @@ def remove_nodes(edges: DataFrame, gone: DataFrame, *, keep_edges: bool = False,
     else:
         members = left.groupBy("edge_id").agg(F.collect_set("node").alias("nodes"))
     rest = edges.drop("nodes", "src", "tgt", "size").join(members, "edge_id").withColumnRenamed("edge_id", "seq")
-    return upsert(rest.drop("meta"), kind=kind, duplicate=duplicate)
+    return upsert(rest, kind=kind, duplicate=duplicate, metadata=metadata)
 
 
 def by_size(edges: DataFrame, *, order: int | None = None, size: int | None = None, up_to: bool = False) -> DataFrame:
@@ -228,6 +240,11 @@ def criterion(criteria: dict[str, Any], mode: str = "all") -> Column:
     return reduce((lambda a, b: a & b) if mode == "all" else (lambda a, b: a | b), tests, F.lit(mode == "all") if not tests else tests[0])
 
 
+def attribute(name: str, wanted: str, *, merged: bool = True) -> Any:
+    """A criterion for ``meta``: whether ``name`` has the value ``wanted``, among others if values have been ``merged``."""
+    return lambda meta: F.array_contains(F.element_at(meta, name), wanted) if merged else F.element_at(meta, name) == wanted
+
+
 def filter_hypergraph(
     edges: DataFrame,
     nodes: DataFrame,
@@ -241,8 +258,8 @@ def filter_hypergraph(
 ) -> tuple[DataFrame, DataFrame]:
     """Keep or remove what meets the criteria; first nodes, then the edges that are left.
 
-    ``nodes`` has one row per node and its attributes as columns; edge criteria are on columns of ``edges``
-    and survive the node phase only if ``keep_edges`` is off. A node without attributes has nulls.
+    ``nodes`` has one row per node and its attributes as columns; edge criteria are on columns of an edge
+    table, metadata included (``attribute`` makes a criterion on a name of it). A node without attributes has nulls.
     """
     if mode not in ("keep", "remove"):
         raise InvalidParameterError("mode is keep or remove")
@@ -258,13 +275,24 @@ def filter_hypergraph(
 
 
 def tumbling_windows(edges: DataFrame, width: int) -> DataFrame:
-    """Temporal edges merged in windows of ``width`` from time 0: ``window``, ``nodes``, ``size``, ``weight``. Empty windows have no rows; see ``window_counts``."""
+    """Temporal edges merged in windows of ``width`` from time 0: ``window``, ``nodes``, ``size``, ``weight``, merged ``meta`` if there is any.
+
+    Empty windows have no rows here; ``window_counts`` has every window, ``window_nodes`` every window with every node.
+    """
     if width < 1:
         raise InvalidParameterError("the width of windows must be at least 1")
     grouped = edges.groupBy(F.expr(f"time div {width}").alias("window"), "nodes").agg(F.min("edge_id").alias("edge_id"), F.sum("weight").alias("weight"))
+    if "meta" in edges.columns:
+        metas = merged_meta(edges.withColumn("window", F.expr(f"time div {width}")), ["window", "nodes"])
+        grouped = grouped.join(metas, ["window", "nodes"], "left")
     return grouped.withColumn("size", F.size("nodes"))
 
 
+def window_nodes(edges: DataFrame, width: int, nodes: DataFrame | None = None) -> DataFrame:
+    """``window`` and ``node``: every node in every window from 0 to the last, empty ones included, as each window is a hypergraph of all nodes."""
+    return window_counts(edges, width).select("window").crossJoin(node_table(edges, nodes))  # as asked for: a row for each
+
+
 def window_counts(edges: DataFrame, width: int) -> DataFrame:
     """``window``, ``n_edges``, ``total_weight`` of every window from 0 to the last, empty ones included."""
     counts = tumbling_windows(edges, width).groupBy("window").agg(F.count("*").alias("n_edges"), F.sum("weight").alias("total_weight"))
@@ -274,6 +302,13 @@ def window_counts(edges: DataFrame, width: int) -> DataFrame:
     return filled.select("window", F.coalesce("n_edges", F.lit(0)).alias("n_edges"), F.coalesce("total_weight", F.lit(0.0)).alias("total_weight"))
 
 
+def snapshot_nodes(edges: DataFrame, nodes: DataFrame | None = None, *, every: bool = False) -> DataFrame:
+    """``time`` and ``node``: the nodes of each time's hypergraph, or (``every``) all nodes at all times that have an edge."""
+    if every:
+        return edges.select("time").distinct().crossJoin(node_table(edges, nodes))  # as asked for: a row for each
+    return edges.select("time", F.explode("nodes").alias("node")).distinct()
+
+
 def snapshots(edges: DataFrame, start: int | None = None, end: int | None = None) -> DataFrame:
     """Temporal edges, each time a hypergraph of its own, within [start, end)."""
     if start is not None:
@@ -283,9 +318,9 @@ def snapshots(edges: DataFrame, start: int | None = None, end: int | None = None
     return edges.select("time", "nodes", "size", "weight")
 
 
-def to_undirected(edges: DataFrame) -> DataFrame:
-    """Any kind as an undirected hypergraph: time, layer or direction dropped, weights summed, metadata merged."""
-    rows = edges.select("nodes", "weight", F.col("edge_id").alias("seq"))
+def to_undirected(edges: DataFrame, *, keep_meta: bool = True) -> DataFrame:
+    """Any kind as an undirected hypergraph: time, layer or direction dropped, weights summed, metadata merged (or dropped)."""
+    rows = edges.select("nodes", "weight", F.col("edge_id").alias("seq"), *(["meta"] if keep_meta and "meta" in edges.columns else []))
     return upsert(rows.where("size(nodes) > 0"))
 
 
@@ -313,9 +348,28 @@ def dense_ids(nodes: DataFrame) -> DataFrame:
 
 
 def relabel(edges: DataFrame, mapping: DataFrame) -> DataFrame:
-    """Edges with each node replaced by its ``id`` in ``mapping`` (``node``, ``id``)."""
-    members = edges.select("edge_id", F.explode("nodes").alias("node")).join(mapping, "node").groupBy("edge_id").agg(F.array_sort(F.collect_list("id")).alias("nodes"))
-    return edges.drop("nodes").join(members, "edge_id")
+    """Edges with each node replaced by its ``id`` in ``mapping`` (``node``, ``id``), sources and targets too; a node without an id is an error when run."""
+    name = F.when(F.col("id").isNotNull(), F.col("id")).otherwise(F.raise_error(F.lit("a node has no new label")))
+    for column in (c for c in ("nodes", "src", "tgt") if c in edges.columns):
+        members = edges.select("edge_id", F.explode(column).alias("node")).join(mapping, "node", "left").groupBy("edge_id").agg(F.array_sort(F.collect_list(name)).alias("labels"))
+        kind = members.schema["labels"].dataType
+        edges = edges.join(members, "edge_id", "left").withColumn(column, F.coalesce("labels", F.array().cast(kind))).drop("labels")
+    return edges
+
+
+def unlabel(edges: DataFrame, mapping: DataFrame) -> DataFrame:
+    """The inverse of ``relabel`` by the same mapping."""
+    return relabel(edges, mapping.select(F.col("id").alias("node"), F.col("node").alias("id")))
+
+
+def size_bins(edges: DataFrame, bounds: list[int]) -> DataFrame:
+    """``low``, ``high`` (null for the last) and ``n_edges`` of bins of sizes [low, high) that begin at the ``bounds``; empty bins count 0."""
+    if not bounds or sorted(set(bounds)) != list(bounds):
+        raise InvalidParameterError("bounds must rise")
+    bins = edges.sparkSession.createDataFrame(list(zip(bounds, [*bounds[1:], None])), "low int, high int")
+    placed = size_distribution(edges).join(F.broadcast(bins), (F.col("size") >= F.col("low")) & (F.col("high").isNull() | (F.col("size") < F.col("high"))))
+    counted = placed.groupBy("low").agg(F.sum("n_edges").alias("n_edges"))
+    return bins.join(counted, "low", "left").select("low", "high", F.coalesce("n_edges", F.lit(0)).alias("n_edges"))
 
 
 def invariant_violations(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:

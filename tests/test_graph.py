@@ -181,3 +181,42 @@ def test_metadata_of_edges_and_incidences(spark, small):
     assert {r["size"]: len(r.edge_ids) for r in small.edges_by_size().collect()} == {2: 3, 3: 2}
     d = Hypergraph.from_edges(spark, [((1,), (2, 3)), ((2,), (1,))], kind="directed")
     assert d.source_edges(1).count() == 1 and d.target_edges(1, size=2).count() == 1 and d.sources().count() == d.targets().count() == 2
+
+
+def test_metadata_survives_conversions(spark):
+    g = Hypergraph.from_edges(spark, [("a", (0, 1)), ("b", (0, 1)), ("b", (1, 2))], metas=[{"k": "x"}, {"k": "y", "m": "z"}, None], kind="multiplex").cached()
+    flat = g.to_undirected()
+    found = {tuple(r.nodes): r.meta for r in flat.edges.collect()}
+    assert found == {(0, 1): {"k": ["x", "y"], "m": ["z"]}, (1, 2): None} and flat.meta == {"converted_from": "MultiplexHypergraph"}
+    assert "meta" not in g.to_undirected(keep_edge_meta=False).edges.columns and g.to_undirected(keep_meta=False).meta is None
+    more = Hypergraph.from_edges(spark, [(0, 1, 2), (0, 1), (3,)], metas=[{"k": "x"}, {"k": "y"}, {"k": "w"}]).cached()
+    gone = spark.createDataFrame([(2,)], "node bigint")
+    assert {tuple(r.nodes): r.meta for r in more.remove_nodes(gone, keep_edges=True).edges.collect()} == {(0, 1): {"k": ["x", "y"]}, (3,): {"k": ["w"]}}
+    kept = more.filter(node_criteria={"node": lambda c: c != 2}, keep_edges=True, edge_criteria={"meta": E.attribute("k", "y")})
+    assert [tuple(r.nodes) for r in kept.edges.collect()] == [(0, 1)]
+    added = more.add_edges(spark.createDataFrame([([0, 1], {"k": "v"})], "nodes array<bigint>, meta map<string,string>"))
+    assert {tuple(r.nodes): r.meta for r in added.edges.collect()}[0, 1] == {"k": ["v", "y"]}
+
+
+def test_windows_are_whole(spark):
+    g = Hypergraph.from_edges(spark, [(1, (1, 2)), (4, (3, 4)), (8, (1, 3)), (11, (2, 4)), (3, (1, 2)), (21, (1, 2))], metas=[{"k": "a"}, None, None, None, {"k": "b"}, None], kind="temporal").cached()
+    found = {(r.window, tuple(r.nodes)): r.meta for r in E.tumbling_windows(g.edges, 5).collect()}
+    assert found[0, (1, 2)] == {"k": ["a", "b"]} and (1, (1, 3)) in found and (2, (2, 4)) in found
+    every = E.window_nodes(g.edges, 5, g.nodes).collect()
+    assert len(every) == 5 * 4 and {r.window for r in every} == set(range(5))
+    assert E.snapshot_nodes(g.edges).count() == 12 and E.snapshot_nodes(g.edges, every=True).count() == 6 * 4
+
+
+def test_relabel_and_views(spark):
+    g = Hypergraph.from_edges(spark, [((10,), (9, 100)), ((9,), ())], kind="directed").cached()
+    new, mapping = g.relabeled()
+    assert {r.node: r.id for r in mapping.collect()} == {10: 0, 100: 1, 9: 2}
+    assert sorted((tuple(r.src), tuple(r.tgt), tuple(r.nodes)) for r in new.edges.collect()) == [((0,), (1, 2), (0, 1, 2)), ((2,), (), (2,))]
+    assert sorted((tuple(r.src), tuple(r.tgt)) for r in E.unlabel(new.edges, mapping).collect()) == [((9,), ()), ((10,), (9, 100))]
+    with pytest.raises(Exception, match="no new label"):
+        E.relabel(g.edges, mapping.where("node != 9")).collect()
+    h = Hypergraph.from_edges(spark, [(0, 1), (1, 2), (1, 2, 3), (5,)]).cached()
+    h = h.set_node_meta(spark.createDataFrame([(1, {"kind": "hub"})], "node bigint, meta map<string,string>"))
+    assert [r.node for r in h.node_view().degree(2, 3).attribute("kind", "hub").frame().collect()] == [1] and 5 in h.node_view() and 6 not in h.node_view()
+    assert [(r.low, r.high, r.n_edges) for r in E.size_bins(h.edges, [1, 2, 9]).orderBy("low").collect()] == [(1, 2, 1), (2, 9, 3), (9, None, 0)]
+    assert Hypergraph.from_tables(h.tables()) == h
