@@ -70,6 +70,17 @@ def _written(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
+def exists(spark: SparkSession, name: str) -> bool:
+    """Whether a file or folder is there."""
+    path, fs = _path(spark, name)
+    return fs.exists(path)
+
+
+def new_folder(spark: SparkSession) -> str:
+    """The name of a folder in the shared folder that isn't there yet; ``release`` removes it."""
+    return _new_path(spark)
+
+
 def drop(spark: SparkSession, paths: list[str]) -> None:
     """Remove tables that ``cut`` wrote."""
     for name in paths:

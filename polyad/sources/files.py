@@ -12,9 +12,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polyad.errors import InvalidFileTypeError, InvalidFormatError, InvalidParameterError
+from polyad.errors import InvalidFileTypeError, InvalidFormatError, InvalidParameterError, StorageError
 from polyad.operators.edges import kind_of, node_table, upsert
-from polyad.runtime import bounded_rows
+from polyad.runtime import exists
 
 TYPES = {"undirected": "Hypergraph", "directed": "DirectedHypergraph", "temporal": "TemporalHypergraph", "multiplex": "MultiplexHypergraph"}
 HIF_TYPES = {"undirected": "undirected", "directed": "directed"}
@@ -95,8 +95,11 @@ def read_json(spark: SparkSession, path: str, *, node_type: str = "bigint") -> S
     return Stored(table, _nodes_of(table, nodes), kind, weighted, meta)
 
 
-def write_json(stored: Stored, path: str) -> None:
-    """A folder of JSON lines: the header, every node and every edge, with weight, time and layer in the metadata."""
+def write_json(stored: Stored, path: str, *, array: bool = False) -> None:
+    """A folder of JSON lines: the header, every node and every edge, with weight, time and layer in the metadata.
+
+    ``array``: one file that holds one array instead, written through by one task.
+    """
     spark = stored.edges.sparkSession
     head = {"hypergraph_type": TYPES[stored.kind], "hypergraph_metadata": {**stored.meta, "weighted": stored.weighted}}
     lines = spark.createDataFrame([(json.dumps(head),)], "value string")
@@ -110,9 +113,18 @@ def write_json(stored: Stored, path: str) -> None:
         own = F.map_concat(F.map_filter(F.coalesce(extra, F.create_map().cast(META)), lambda k, v: ~k.isin("weight", "time", "layer")), own)
     members = F.array("src", "tgt") if stored.kind == "directed" else F.col("nodes")
     lines = lines.unionByName(edges.select(F.to_json(F.struct(F.lit("edge").alias("type"), members.alias("interaction"), own.alias("metadata"))).alias("value")))
+    if array:
+        first = F.col("value").startswith('{"hypergraph_type"')
+        rows = lines.select(F.when(first, 0).otherwise(1).alias("section"), F.concat(F.when(first, F.lit("[")).otherwise(F.lit(",")), F.col("value")).alias("value"))
+        return _one_file(rows.unionByName(spark.createDataFrame([(2, "]")], "section int, value string")), path)
     lines.write.text(path)
 
 
+def _one_file(rows: DataFrame, path: str) -> None:
+    """The lines ``value`` in the order of ``section`` in one file: one task sorts and writes, on disk where they are many."""
+    rows.coalesce(1).sortWithinPartitions("section").select("value").write.text(path)
+
+
 # -- hMETIS text
 
 
@@ -143,15 +155,15 @@ def read_hgr(spark: SparkSession, path: str) -> Stored:
     return Stored(edges, nodes, weighted=weighted)
 
 
-def write_hgr(stored: Stored, path: str, *, limit: int = 10_000_000) -> None:
-    """hMETIS text of an undirected hypergraph whose nodes are 1..n; in one file, for at most ``limit`` edges."""
+def write_hgr(stored: Stored, path: str) -> None:
+    """hMETIS text of an undirected hypergraph whose nodes are 1..n; in one file, written through by one task."""
     edges = stored.edges
     n, top = edges.count(), node_table(edges, stored.nodes).agg(F.max("node")).first()[0] or 0
-    if n > limit or stored.kind != "undirected":
-        raise InvalidParameterError("hgr is for undirected hypergraphs of a bounded number of edges")
+    if stored.kind != "undirected":
+        raise InvalidParameterError("hgr is for undirected hypergraphs")
     line = F.concat_ws(" ", *([F.col("weight").cast("bigint").cast("string")] if stored.weighted else []), F.array_join(F.col("nodes").cast("array<string>"), " "))
-    head = edges.sparkSession.createDataFrame([(-1, f"{n} {top}" + " 1" * stored.weighted)], "edge_id bigint, value string")
-    head.unionByName(edges.select("edge_id", line.alias("value"))).coalesce(1).sortWithinPartitions("edge_id").select("value").write.text(path)
+    head = edges.sparkSession.createDataFrame([(-1, f"{n} {top}" + " 1" * stored.weighted)], "section bigint, value string")
+    _one_file(head.unionByName(edges.select(F.col("edge_id").alias("section"), line.alias("value"))), path)
 
 
 # -- HIF
@@ -183,7 +195,7 @@ def incidence_edges(incidences: DataFrame, edges: DataFrame | None = None, nodes
 def read_hif(spark: SparkSession, path: str) -> tuple[Stored, DataFrame]:
     """The hypergraph of a HIF file, and its named edges without incidences. Nodes keep their names, as text."""
     rows = spark.read.schema(HIF).option("multiLine", True).json(path)
-    part = lambda name: rows.select(F.explode(name).alias("x")).select("x.*")
+    part = lambda name: rows.select(F.explode(name).alias("x")).select("x.*")  # noqa: E731 (entries without a name are left out further on)
     if rows.where("incidences IS NOT NULL").isEmpty():
         raise InvalidFormatError(f"{path} has no incidences")
     members, empty, nodes = incidence_edges(part("incidences"), part("edges"), part("nodes"))
@@ -193,20 +205,25 @@ def read_hif(spark: SparkSession, path: str) -> tuple[Stored, DataFrame]:
     return Stored(edges, nodes.join(attrs, "node", "left"), kind), empty
 
 
-def write_hif(stored: Stored, path: str, *, limit: int = 1_000_000) -> None:
-    """One HIF document, for at most ``limit`` incidences: the format is one JSON object and can't be written in parts."""
-    directed = stored.kind == "directed"
+def write_hif(stored: Stored, path: str) -> None:
+    """One HIF document. The format is one JSON object, so one task writes its lines through; none is held in memory."""
     if stored.kind not in HIF_TYPES:
         raise InvalidParameterError("HIF holds undirected and directed hypergraphs")
-    sides = [("src", "tail"), ("tgt", "head")] if directed else [("nodes", None)]
-    incidences = []
+    spark, text = stored.edges.sparkSession, lambda c: F.col(c).cast("string")
+    sides = [("src", "tail"), ("tgt", "head")] if stored.kind == "directed" else [("nodes", None)]
+    incidences = None
     for column, direction in sides:
-        for r in bounded_rows(stored.edges.select("edge_id", F.explode(column).alias("node")), limit, "incidences of a HIF document"):
-            incidences.append({"edge": str(r.edge_id), "node": str(r.node)} | ({"direction": direction} if direction else {}))
-    nodes = [{"node": str(r.node)} | ({"attrs": dict(r.meta)} if "meta" in stored.nodes.columns and r.meta else {}) for r in bounded_rows(stored.nodes, limit, "nodes of a HIF document")]
-    edges = [{"edge": str(r.edge_id), "weight": r.weight} for r in bounded_rows(stored.edges.select("edge_id", "weight"), limit, "edges of a HIF document")]
-    document = {"network-type": HIF_TYPES[stored.kind], "metadata": stored.meta, "incidences": incidences, "nodes": nodes, "edges": edges}
-    stored.edges.sparkSession.createDataFrame([(json.dumps(document),)], "value string").coalesce(1).write.text(path)
+        held = stored.edges.select("edge_id", F.explode(column).alias("node"))
+        part = held.select(F.to_json(F.struct(text("edge_id").alias("edge"), text("node").alias("node"), *([F.lit(direction).alias("direction")] if direction else []))).alias("value"))
+        incidences = part if incidences is None else incidences.unionByName(part)
+    attrs = [F.when(F.size("meta") > 0, F.col("meta")).alias("attrs")] if "meta" in stored.nodes.columns else []
+    nodes = stored.nodes.select(F.to_json(F.struct(text("node").alias("node"), *attrs)).alias("value"))
+    edges = stored.edges.select(F.to_json(F.struct(text("edge_id").alias("edge"), "weight")).alias("value"))
+    head = json.dumps({"network-type": HIF_TYPES[stored.kind], "metadata": stored.meta})[:-1]
+    lines = spark.createDataFrame([(0, f'{head}, "incidences": [{{}}'), (2, '], "nodes": [{}'), (4, '], "edges": [{}'), (6, "]}")], "section int, value string")
+    for section, part in ((1, incidences), (3, nodes), (5, edges)):
+        lines = lines.unionByName(part.select(F.lit(section).alias("section"), F.concat(F.lit(","), "value").alias("value")))
+    _one_file(lines, path)
 
 
 # -- facade
@@ -229,25 +246,40 @@ def write_hypergraph(stored: Stored, path: str, *, fmt: str = "parquet") -> None
     writers[fmt](stored, path)
 
 
+#: Endings that a data set without one is looked for with, in this order; each also compressed.
+ENDINGS = ("json", "hgr", "hif", "parquet")
+
+
 def read_remote(spark: SparkSession, name: str, *, base: str | None = None, allow_network: bool = False, fmt: str | None = None) -> Stored:
-    """A named data set under the address ``base``, any file system that Spark reads. Off unless ``allow_network`` is given."""
+    """A named data set under the address ``base``, any file system that Spark reads. Off unless ``allow_network`` is given.
+
+    A name without an ending is looked for as json first, then in the other formats, plain or with .gz.
+    """
     if not allow_network:
         raise InvalidParameterError("remote data sets are read only with allow_network=True")
     if not base:
         raise InvalidParameterError("base, the address of the data sets, is not given")
-    return read_hypergraph(spark, f"{base.rstrip('/')}/{name}", fmt=fmt)
+    path = f"{base.rstrip('/')}/{name}"
+    if fmt is None and not name.removesuffix(".gz").endswith(tuple(f".{e}" for e in ENDINGS)):
+        tried = [f"{path}.{e}{z}" for e in ENDINGS for z in ("", ".gz")]
+        found = [p for p in tried if exists(spark, p)]
+        if not found:
+            raise StorageError(f"none of these is there: {', '.join(tried)}")
+        path = found[0]
+    return read_hypergraph(spark, path, fmt=fmt)
 
 
 def content_hash(stored: Stored) -> str:
     """SHA-256 of the content: kind, weights, nodes and edges with their metadata, whatever their order and ids.
 
-    Rows are hashed where they are; per 65,536 buckets the sorted hashes are joined, then the buckets'.
+    Rows are hashed where they are. Each hash is eight numbers of 32 bits, whose sums over all rows are
+    hashed in turn: nothing but eight sums is ever brought together.
     """
     edges = stored.edges
-    fields = [F.to_json(F.struct(*[F.col(c) for c in ("src", "tgt", "nodes", "time", "layer") if c in edges.columns])), F.format_string("%.12g", F.col("weight"))]
-    meta = lambda df: F.to_json(F.array_sort(F.map_entries("meta"))) if "meta" in df.columns else F.lit("")
+    fields = [F.to_json(F.struct(*[F.col(c) for c in ("src", "tgt", "nodes", "time", "layer") if c in edges.columns])), F.format_string("%.9e", F.col("weight"))]
+    meta = lambda df: F.coalesce(F.to_json(F.array_sort(F.map_entries("meta"))), F.lit("")) if "meta" in df.columns else F.lit("")
     rows = edges.select(F.sha2(F.concat_ws("\x1f", F.lit("e"), *fields, meta(edges)), 256).alias("h"))
     rows = rows.unionByName(stored.nodes.select(F.sha2(F.concat_ws("\x1f", F.lit("n"), F.col("node").cast("string"), meta(stored.nodes)), 256).alias("h")))
-    parts = rows.groupBy(F.substring("h", 1, 4).alias("bucket")).agg(F.sha2(F.concat_ws("", F.array_sort(F.collect_list("h"))), 256).alias("h"))
-    whole = parts.agg(F.sha2(F.concat_ws("", F.lit(f"{kind_of(edges)} {stored.weighted}"), F.transform(F.array_sort(F.collect_list(F.struct("bucket", "h"))), lambda x: x["h"])), 256).alias("h"))
-    return whole.first()[0]
+    lanes = [F.sum(F.conv(F.substring("h", 8 * k + 1, 8), 16, 10).cast("decimal(38,0)")).alias(f"s{k}") for k in range(8)]
+    sums = [F.coalesce(F.col(f"s{k}"), F.lit(0)).cast("decimal(38,0)").cast("string") for k in range(8)]
+    return rows.agg(*lanes).select(F.sha2(F.concat_ws(":", F.lit(f"{kind_of(edges)} {str(stored.weighted).lower()}"), *sums), 256)).first()[0]
