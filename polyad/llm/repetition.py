@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from polyad.errors import InvalidParameterError
-from polyad.runtime import cut, shared_root
+from polyad.runtime import cut, is_mounted
 
 #: Bits of a code point in a packed trigram.
 BITS = 21
@@ -34,6 +34,9 @@ HELD_ROWS = 8_000_000
 #: Trigram occurrences counted at once by a worker.
 ROOM = 4_000_000
 
+#: Languages that there may be: tables of one row per language are broadcast up to this many rows, and joined by a shuffle beyond.
+LANGUAGES = 100_000
+
 _letters: list[np.ndarray] = []
 
 
@@ -157,6 +160,12 @@ def _count_trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     yield from flush()
 
 
+def _by_language(df: DataFrame) -> DataFrame:
+    """A table of one row per language, written once; broadcast, for its rows are counted and few."""
+    df = cut(df)
+    return F.broadcast(df) if df.count() <= LANGUAGES else df
+
+
 def _discounts(counts: DataFrame) -> DataFrame:
     """The three discounts of each language, from how many n-grams have count 1 to 4; 0.5, 1 and 1.5 where those say nothing."""
     of = [F.count(F.when(F.col("n") == k, 1)).alias(f"n{k}") for k in (1, 2, 3, 4)]
@@ -169,11 +178,13 @@ def _discounts(counts: DataFrame) -> DataFrame:
     return found.select("lang", *out)
 
 
-def _level(counts: DataFrame, context: Column) -> tuple[DataFrame, DataFrame]:
-    """(lang, gram, context, own part of the probability) and (lang, context, weight of the lower order)."""
-    counts = counts.join(_discounts(counts), "lang").withColumn("context", context)
+def _level(counts: DataFrame, context: Column, by_language: bool) -> tuple[DataFrame, DataFrame]:
+    """(lang, gram, context, own part of the probability) and (lang, context, weight of the lower order); ``by_language``: there is one context per language."""
+    counts = counts.join(_by_language(_discounts(counts)), "lang").withColumn("context", context)
     less = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
     contexts = counts.groupBy("lang", "context").agg(F.sum("n").alias("total"), F.sum(less).alias("freed")).select("lang", "context", "total", (F.col("freed") / F.col("total")).alias("weight"))
+    if by_language:
+        contexts = _by_language(contexts)
     own = counts.join(contexts.select("lang", "context", "total"), ["lang", "context"]).select("lang", "gram", "context", (F.greatest(F.col("n") - less, F.lit(0.0)) / F.col("total")).alias("own"))
     return own, contexts.select("lang", "context", "weight")
 
@@ -201,13 +212,14 @@ def fit_kneser_ney(documents: DataFrame, *, lang_column: str = "lang", text_colu
     c3 = cut(counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")))
     c2 = cut(c3.groupBy("lang", F.col("gram").bitwiseAND(F.lit((1 << 2 * BITS) - 1)).alias("gram")).agg(F.count("*").alias("n")))
     c1 = cut(c2.groupBy("lang", F.col("gram").bitwiseAND(F.lit(MASK)).alias("gram")).agg(F.count("*").alias("n")))
-    alphabet = c1.groupBy("lang").agg((F.count("*") + 1).alias("characters"))
+    alphabet = cut(c1.groupBy("lang").agg((F.count("*") + 1).alias("characters")))
+    few = alphabet.count() <= LANGUAGES
     grams, weights, lower = {}, {}, None
     for order, counts, context in ((1, c1, F.lit(0).cast("bigint")), (2, c2, F.shiftright("gram", BITS)), (3, c3, F.shiftright("gram", BITS))):
-        own, weight = _level(counts, context)
+        own, weight = _level(counts, context, order == 1)
         both = own.join(weight, ["lang", "context"])
         if order == 1:
-            p = both.join(alphabet, "lang").select("lang", "gram", (F.col("own") + F.col("weight") / F.col("characters")).alias("p"))
+            p = both.join(F.broadcast(alphabet) if few else alphabet, "lang").select("lang", "gram", (F.col("own") + F.col("weight") / F.col("characters")).alias("p"))
         else:
             suffix = F.col("gram").bitwiseAND(F.lit((1 << (order - 1) * BITS) - 1))
             below = lower.select("lang", F.col("gram").alias("suffix"), F.col("p").alias("below"))
@@ -215,7 +227,7 @@ def fit_kneser_ney(documents: DataFrame, *, lang_column: str = "lang", text_colu
         lower = cut(p)
         grams[order] = lower.select("lang", "gram", F.log("p").alias("log_p"))
         weights[order] = cut(weight.select("lang", "context", F.log("weight").alias("log_weight")))
-    return KneserNey(grams, weights, cut(alphabet))
+    return KneserNey(grams, weights, alphabet)
 
 
 class _Arrays:
@@ -307,8 +319,8 @@ def _scores_by_join(texts: DataFrame, model: KneserNey, kind: str) -> DataFrame:
     wanted = wanted.withColumn("x3", F.shiftright("gram", BITS)).withColumn("x2", F.shiftright("two", BITS)).withColumn("x1", F.lit(0).cast("bigint"))
     for order in (3, 2, 1):
         weight = model.weights[order].select("lang", F.col("context").alias(f"x{order}"), F.col("log_weight").alias(f"w{order}"))
-        wanted = wanted.join(weight, ["lang", f"x{order}"], "left")
-    wanted = wanted.join(model.alphabet, "lang", "left")
+        wanted = wanted.join(_by_language(weight) if order == 1 else weight, ["lang", f"x{order}"], "left")
+    wanted = wanted.join(_by_language(model.alphabet), "lang", "left")
     zero = F.lit(0.0)
     p1 = F.coalesce("p1", F.coalesce("w1", zero) - F.log(F.coalesce(F.col("characters").cast("double"), F.lit(2.0))))
     p2 = F.coalesce(F.col("p2"), p1 + F.coalesce("w2", zero))
@@ -325,8 +337,7 @@ def perplexities(documents: DataFrame, model: KneserNey, *, id_column: str = "do
     """
     texts = documents.select(F.col(id_column).alias("key"), language(F.col(lang_column)).alias("lang"), F.col(text_column).alias("text"))
     kind = texts.schema["key"].dataType.simpleString()
-    mounted = shared_root(documents.sparkSession).startswith(("file:", "/"))
-    scored = (_scores_by_arrays if mounted and model.rows() <= held_rows else _scores_by_join)(texts, model, kind)
+    scored = (_scores_by_arrays if is_mounted(documents.sparkSession) and model.rows() <= held_rows else _scores_by_join)(texts, model, kind)
     value = F.when(F.col("n") > 0, F.exp(-F.col("log_p") / F.col("n")))
     return scored.select(F.col("key").alias(id_column), "lang", F.col("n").alias("n_characters"), value.alias("perplexity"))
 
@@ -336,6 +347,6 @@ def perplexity_bands(scores: DataFrame, *, lower: float = 0.02, upper: float = 0
     if not 0 <= lower < upper <= 1:
         raise InvalidParameterError("the bands need 0 <= lower < upper <= 1")
     bands = scores.groupBy("lang").agg(F.percentile_approx("perplexity", F.array(F.lit(lower), F.lit(upper)), F.lit(10_000)).alias("band"))
-    joined = scores.join(bands, "lang", "left").withColumn("low", F.col("band")[0]).withColumn("high", F.col("band")[1]).drop("band")
+    joined = scores.join(_by_language(bands), "lang", "left").withColumn("low", F.col("band")[0]).withColumn("high", F.col("band")[1]).drop("band")
     outside = (F.col("perplexity") < F.col("low")) | (F.col("perplexity") > F.col("high"))
     return joined.withColumn("rejected", F.coalesce(outside, F.lit(False)))
