@@ -376,6 +376,18 @@ class Hypergraph:
         self._needs("temporal")
         return matrices.annealed_adjacency(self.edges, **options)
 
+    def adjacency_factor(self, t: float = 0, **options: Any) -> DataFrame:
+        return matrices.adjacency_factor(matrices.annealed_adjacency(self.edges, **options) if self.kind == "temporal" else matrices.adjacency(self.edges, **options), t)
+
+    def dual_adjacency(self) -> DataFrame:
+        return matrices.dual_adjacency(self.edges)
+
+    def laplacian(self, order: int, **options: Any) -> DataFrame:
+        return matrices.laplacian(self.edges, order, **options)
+
+    def multiorder_laplacian(self, sigmas: list[float], **options: Any) -> DataFrame:
+        return matrices.multiorder_laplacian(self.edges, sigmas, self.num_nodes(), **options)
+
     def transition_matrix(self) -> DataFrame:
         return matrices.transition_matrix(self.edges)
 

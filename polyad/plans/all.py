@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from polyad.plans import analysis, general, structure
+from polyad.plans import analysis, formats, general, objects, structure
 from polyad.plans.registry import Registry
 
-REGISTRIES: list[Registry] = [general.REGISTRY, structure.REGISTRY, analysis.REGISTRY]
+REGISTRIES: list[Registry] = [general.REGISTRY, structure.REGISTRY, formats.REGISTRY, objects.REGISTRY, analysis.REGISTRY]

@@ -239,11 +239,11 @@ def read_hypergraph(spark: SparkSession, path: str, *, fmt: str | None = None, *
     return readers[fmt](spark, path, **options)
 
 
-def write_hypergraph(stored: Stored, path: str, *, fmt: str = "parquet") -> None:
+def write_hypergraph(stored: Stored, path: str, *, fmt: str = "parquet", **options) -> None:
     writers = {"json": write_json, "hgr": write_hgr, "hif": write_hif, "parquet": write_parquet}
     if fmt not in writers:
         raise InvalidFileTypeError(f"unknown format: {fmt}")
-    writers[fmt](stored, path)
+    writers[fmt](stored, path, **options)
 
 
 #: Endings that a data set without one is looked for with, in this order; each also compressed.
