@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +15,23 @@ from polyad.runtime import Rounds, bounded_rows, cut
 
 #: Nodes up to which a dense matrix is solved on the driver.
 DENSE = 3_000
+#: What stands for a value that has become 0 in products made of logarithms.
+TINY = 1e-300
+#: Incidences up to which the rounds of an iteration run on arrays on the driver; more are joined in tables, round by round.
+HELD_INCIDENCES = 2_000_000
+
+
+def held_incidences(edges: DataFrame, limit: int) -> tuple[list, np.ndarray, np.ndarray, np.ndarray] | None:
+    """Nodes in order, and per incidence the number of its edge and of its node, and per edge its weight; None beyond ``limit`` incidences."""
+    if (edges.agg(F.sum(F.size("nodes"))).first()[0] or 0) > limit:
+        return None
+    weight = F.col("weight") if "weight" in edges.columns else F.lit(1.0)
+    rows = edges.select("edge_id", "nodes", weight.cast("double").alias("weight")).toArrow()
+    order = np.argsort(np.asarray(rows.column("edge_id")), kind="stable")
+    lists = rows.column("nodes").take(order)
+    sizes = np.asarray(lists.combine_chunks().value_lengths()) if len(order) else np.zeros(0, np.int64)
+    names, at = np.unique(np.asarray(lists.combine_chunks().flatten()), return_inverse=True) if len(order) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    return names.tolist(), np.repeat(np.arange(len(order)), sizes), at, np.asarray(rows.column("weight"))[order]
 
 
 def _check_uniform(edges: DataFrame) -> int:
@@ -47,9 +66,30 @@ def _until_stable(first: DataFrame, step, norm: str, tol: float, max_iter: int)
     return x
 
 
+def _until_stable_held(edges: DataFrame, held: tuple, first: DataFrame, step: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], norm: str, tol: float, max_iter: int) -> DataFrame:
+    """The same rounds on arrays."""
+    names, edge, node, _ = held
+    start = {r.node: r.x for r in first.collect()}  # as many as the bounded incidences have nodes
+    scale = (lambda x: x / np.sqrt((x * x).sum())) if norm == "l2" else (lambda x: x / np.abs(x).sum())
+    x = scale(np.array([start[n] for n in names]))
+    for _ in range(max_iter):
+        new = scale(step(x, edge, node))
+        gap, x = np.sqrt(((new - x) ** 2).sum()), new
+        if gap < tol:
+            break
+    kind = edges.schema["nodes"].dataType.elementType.simpleString()
+    return edges.sparkSession.createDataFrame(list(zip(names, x.tolist())), f"node {kind}, centrality double")
+
+
 def clique_centrality(edges: DataFrame, *, tol: float = 1e-7, max_iter: int = 1000, seed: int | None = None) -> DataFrame:
     """``node``, ``centrality``: dominant eigenvector, of length 1, of the numbers of common edges of two nodes."""
     _check_uniform(edges)
+    if held := held_incidences(edges, HELD_INCIDENCES):
+
+        def on_arrays(x: np.ndarray, edge: np.ndarray, node: np.ndarray) -> np.ndarray:
+            return np.bincount(node, np.bincount(edge, x[node])[edge] - x[node], len(x))
+
+        return _until_stable_held(edges, held, _start(edges, seed), on_arrays, "l2", tol, max_iter)
     links = cut(adjacency(edges))
 
     def step(x: DataFrame) -> DataFrame:
@@ -59,10 +99,10 @@ def clique_centrality(edges: DataFrame, *, tol: float = 1e-7, max_iter: int = 10
 
 
 def _tensor_step(held: DataFrame, power: float):
-    """x_i <- (sum over edges of i of the product of the others' values) ** power; values stay positive, so products are sums of logs."""
+    """x_i <- (sum over edges of i of the product of the others' values) ** power; products are sums of logs, and a value that has become 0 counts as TINY."""
 
     def step(x: DataFrame) -> DataFrame:
-        logs = held.join(x, "node").select("edge_id", "node", F.log("x").alias("l"))
+        logs = held.join(x, "node").select("edge_id", "node", F.log(F.greatest("x", F.lit(TINY))).alias("l"))
         whole = logs.groupBy("edge_id").agg(F.sum("l").alias("total"))
         sums = logs.join(whole, "edge_id").groupBy("node").agg(F.sum(F.exp(F.col("total") - F.col("l"))).alias("x"))
         return sums.select("node", F.pow("x", F.lit(power)).alias("x"))
@@ -70,9 +110,19 @@ def _tensor_step(held: DataFrame, power: float):
     return step
 
 
+def _tensor_on_arrays(power: float):
+    def step(x: np.ndarray, edge: np.ndarray, node: np.ndarray) -> np.ndarray:
+        logs = np.log(np.maximum(x, TINY))[node]
+        return np.bincount(node, np.exp(np.bincount(edge, logs)[edge] - logs), len(x)) ** power
+
+    return step
+
+
 def z_centrality(edges: DataFrame, *, tol: float = 1e-7, max_iter: int = 1000, seed: int | None = None) -> DataFrame:
     """``node``, ``centrality``: Z-eigenvector of the adjacency tensor, summing to 1."""
     _check_uniform(edges)
+    if held := held_incidences(edges, HELD_INCIDENCES):
+        return _until_stable_held(edges, held, _start(edges, seed), _tensor_on_arrays(1.0), "l1", tol, max_iter)
     held = cut(edges.select("edge_id", F.explode("nodes").alias("node")))
     return _until_stable(_start(edges, seed), _tensor_step(held, 1.0), "l1", tol, max_iter).withColumnRenamed("x", "centrality")
 
@@ -80,6 +130,8 @@ def z_centrality(edges: DataFrame, *, tol: float = 1e-7, max_iter: int = 1000, s
 def h_centrality(edges: DataFrame, *, tol: float = 1e-6, max_iter: int = 100, seed: int | None = None) -> DataFrame:
     """``node``, ``centrality``: H-eigenvector of the adjacency tensor, summing to 1."""
     size = _check_uniform(edges)
+    if held := held_incidences(edges, HELD_INCIDENCES):
+        return _until_stable_held(edges, held, _start(edges, seed), _tensor_on_arrays(1.0 / (size - 1)), "l1", tol, max_iter)
     held = cut(edges.select("edge_id", F.explode("nodes").alias("node")))
     return _until_stable(_start(edges, seed), _tensor_step(held, 1.0 / (size - 1)), "l1", tol, max_iter).withColumnRenamed("x", "centrality")
 

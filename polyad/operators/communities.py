@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 
 from polyad.errors import InvalidParameterError
 from polyad.functions.columns import log_choose
-from polyad.operators.centrality import DENSE, dense
+from polyad.operators.centrality import DENSE, HELD_INCIDENCES, dense, held_incidences
 from polyad.operators.edges import node_table
 from polyad.operators.projections import line_graph
-from polyad.runtime import bounded_rows, cut
+from polyad.runtime import Rounds, bounded_rows, cut
 
 # -- mixed-membership stochastic block model
 
@@ -72,23 +72,25 @@ def fit_mixed_membership(edges: DataFrame, k: int, *, n_iter: int = 100, toleran
     w = (w + w.T) / 2
     draw = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda c: F.pmod(F.xxhash64(F.lit(seed), F.col("node"), c), F.lit(1 << 40)) / F.lit(float(1 << 40)) + 1e-3)
     u = cut(node_table(edges).select("node", draw.alias("u")))
-    rounds = 0
+    if arrays := held_incidences(used, HELD_INCIDENCES):
+        return _mixed_on_arrays(edges, arrays, u, w, k, max_size, n_iter, tolerance, assortative, u_prior, w_prior, check_every)
+    rounds, tables, edge_tables = 0, Rounds(), Rounds()
     for rounds in range(1, n_iter + 1):
-        sums = cut(_edge_sums(held, u, w, k).withColumn("m", F.col("weight") / F.col("lam")))
+        sums = edge_tables.cut(_edge_sums(held, u, w, k).withColumn("m", F.col("weight") / F.col("lam")))
         bm = held.join(sums.select("edge_id", "m"), "edge_id").groupBy("node").agg(F.sum("m").alias("bm"))
         top = _outer(sums, "s", "m", k) - _outer(u.join(bm, "node"), "u", "bm", k)
         total = np.array([x or 0.0 for x in u.agg(*[F.sum(F.col("u")[a]) for a in range(k)]).first()])
         below = np.outer(total, total) - _outer(u.withColumn("one", F.lit(1.0)), "u", "one", k)
         new_w = 0.5 * w * top / (0.5 * below + w_prior)
         new_w = np.diag(np.diag(new_w)) if assortative else (new_w + new_w.T) / 2
-        sums = cut(_edge_sums(held, u, new_w, k).withColumn("m", F.col("weight") / F.col("lam")))
+        sums = edge_tables.cut(_edge_sums(held, u, new_w, k).withColumn("m", F.col("weight") / F.col("lam")))
         # (B m) S w - (B m) u w over (w sum u - u w + prior), in the node's own row
         near = held.join(sums.select("edge_id", "m", "s"), "edge_id").groupBy("node").agg(F.sum("m").alias("bm"), F.array(*[F.sum(F.col("m") * F.col("s")[a]) for a in range(k)]).alias("ms"))
         base = new_w @ total
         joined = u.join(near, "node", "left")
         up = [sum((F.lit(float(new_w[b, a])) * (F.coalesce(F.col("ms")[b], F.lit(0.0)) - F.coalesce("bm", F.lit(0.0)) * F.col("u")[b]) for b in range(k)), F.lit(0.0)) for a in range(k)]
         down = [F.lit(float(base[a])) - sum((F.lit(float(new_w[b, a])) * F.col("u")[b] for b in range(k)), F.lit(0.0)) + u_prior for a in range(k)]
-        new_u = cut(joined.select("node", F.array(*[F.when(down[a] > 0, F.col("u")[a] * F.greatest(up[a], F.lit(0.0)) / down[a]).otherwise(F.lit(0.0)) for a in range(k)]).alias("u")))
+        new_u = tables.cut(joined.select("node", F.array(*[F.when(down[a] > 0, F.col("u")[a] * F.greatest(up[a], F.lit(0.0)) / down[a]).otherwise(F.lit(0.0)) for a in range(k)]).alias("u")))
         done = False
         if tolerance is not None and rounds % check_every == 0:
             gap = new_u.select("node", F.col("u").alias("new")).join(u, "node").agg(F.sum(sum(((F.col("new")[a] - F.col("u")[a]) ** 2 for a in range(k)), F.lit(0.0))), F.count("*")).first()
@@ -100,6 +102,48 @@ def fit_mixed_membership(edges: DataFrame, k: int, *, n_iter: int = 100, toleran
     return MixedMembership(u, w / size_factor(max_size), likelihood, rounds)
 
 
+def _mixed_on_arrays(edges: DataFrame, arrays: tuple, first: DataFrame, w: np.ndarray, k: int, max_size: int, n_iter: int, tolerance: float | None, assortative: bool, u_prior: float, w_prior: float, check_every: int) -> MixedMembership:
+    """The same rounds on arrays, for incidences that have been counted. Nodes without edges of two nodes stay at what chance gave them, then 0."""
+    names, edge, node, weight = arrays
+    start = {r.node: r.u for r in first.collect()}  # nodes of bounded incidences, and those without any
+    alone = [x for x in start if x not in set(names)]
+    u = np.array([start[x] for x in [*names, *alone]], dtype=float).reshape(-1, k)
+    n, n_edges, inside = len(names), len(weight), slice(0, len(names))
+    at_edge = lambda x: np.stack([np.bincount(edge, x[:, a], n_edges) for a in range(k)], 1)
+    at_node = lambda x: np.stack([np.bincount(node, x[:, a], n) for a in range(k)], 1)
+
+    def sums(u: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        s = at_edge(u[node])
+        own = np.bincount(edge, np.einsum("ia,ab,ib->i", u, w, u)[node], n_edges)
+        return s, np.maximum((np.einsum("ia,ab,ib->i", s, w, s) - own) / 2, 1e-300)
+
+    rounds = 0
+    for rounds in range(1, n_iter + 1):
+        s, lam = sums(u, w)
+        m = weight / lam
+        bm = np.bincount(node, m[edge], n)
+        top = s.T @ (m[:, None] * s) - u[inside].T @ (bm[:, None] * u[inside])
+        total = u.sum(0)
+        new_w = 0.5 * w * top / (0.5 * (np.outer(total, total) - u.T @ u) + w_prior)
+        new_w = np.diag(np.diag(new_w)) if assortative else (new_w + new_w.T) / 2
+        s, lam = sums(u, new_w)
+        m = weight / lam
+        bm = np.bincount(node, m[edge], n)
+        up = np.zeros_like(u)
+        up[inside] = (at_node((m[:, None] * s)[edge]) - bm[:, None] * u[inside]) @ new_w
+        down = total @ new_w - u @ new_w + u_prior
+        new_u = np.divide(u * np.maximum(up, 0.0), down, out=np.zeros_like(u), where=down > 0)
+        done = tolerance is not None and rounds % check_every == 0 and np.sqrt(((new_u - u) ** 2).sum()) / len(u) < tolerance and np.linalg.norm(new_w - w) / k < tolerance
+        u, w = new_u, new_w
+        if done:
+            break
+    total = u.sum(0)
+    likelihood = -(total @ w @ total - (w * (u.T @ u)).sum()) / 2 + (weight * np.log(sums(u, w)[1])).sum()
+    kind = edges.schema["nodes"].dataType.elementType.simpleString()
+    found = edges.sparkSession.createDataFrame([(x, row.tolist()) for x, row in zip([*names, *alone], u)], f"node {kind}, u array<double>")
+    return MixedMembership(found, w / size_factor(max_size), float(likelihood), rounds)
+
+
 def mixed_log_likelihood(held: DataFrame, u: DataFrame, w: np.ndarray, k: int) -> float:
     """- sum over pairs of u_i' w u_j + sum of A_e log lambda_e."""
     total = np.array([x or 0.0 for x in u.agg(*[F.sum(F.col("u")[a]) for a in range(k)]).first()])

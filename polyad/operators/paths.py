@@ -351,23 +351,42 @@ def node_path_scores(edges: DataFrame, measure: str) -> DataFrame:
 def averaged_path_scores(edges: DataFrame, measure: str, *, of: str = "edge", s: float = 1) -> DataFrame:
     """Path scores of every time of a temporal hypergraph, summed per edge (its nodes) or node and divided by the number of times.
 
-    Whoever is absent at a time counts 0 there. Times are handled in one table: vertices of different
-    times are never linked, but closeness and betweenness are scaled by the time's own number of vertices.
+    Whoever is absent at a time counts 0 there. All times are scored in one job, each by one task from its
+    own links; a time may have ``ALL_PAIRS`` vertices and ``ALL_LINKS`` links at most, which is checked.
     """
     if of not in ("edge", "node"):
         raise InvalidParameterError("scores are of edge or node")
-    times = sorted(r.time for r in edges.select("time").distinct().collect())  # one entry per snapshot, not per row
-    out = None
-    for t in times:
-        now = edges.where(F.col("time") == t)
-        if of == "edge":
-            scored = edge_path_scores(now, measure, s=s).join(now.select("edge_id", "nodes"), "edge_id").select(F.array_join(F.col("nodes").cast("array<string>"), "|").alias("edge"), measure)
-        else:
-            scored = node_path_scores(now, measure)
-        out = scored if out is None else out.unionByName(scored)
-    if out is None:
+    if measure not in ("closeness", "betweenness"):
+        raise InvalidParameterError(f"unknown measure: {measure}")
+    name = F.array_join(F.col("nodes").cast("array<string>"), "|")
+    held = cut(edges.select("time", name.alias("edge"), F.explode("nodes").alias("node")))
+    if of == "edge":
+        a, b = (held.select("time", "node", F.col("edge").alias(x)) for x in "ab")
+        links = a.join(b, ["time", "node"]).where("a < b").groupBy("time", "a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= s).select("time", "a", "b")
+        vertices = held.select("time", F.col("edge").alias("v")).distinct()
+    else:
+        links = held.select("time", F.concat(F.lit("N"), F.col("node").cast("string")).alias("a"), F.concat(F.lit("E"), F.col("edge")).alias("b"))
+        vertices = links.select("time", F.explode(F.array("a", "b")).alias("v")).distinct()
+    links, vertices = cut(links), cut(vertices)
+    times = vertices.groupBy("time").agg(F.count("*").alias("n"))
+    n_times, most = times.agg(F.count("*"), F.max("n")).first()
+    if not n_times:
         raise InvalidParameterError("there are no times")
-    return out.groupBy(of).agg((F.sum(measure) / len(times)).alias(measure))
+    if most > ALL_PAIRS or (links.groupBy("time").count().agg(F.max("count")).first()[0] or 0) > ALL_LINKS:
+        raise InvalidParameterError(f"a time has more than {ALL_PAIRS} vertices or {ALL_LINKS} links; this step needs bounded times")
+
+    def score(points: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
+        names = np.sort(points["v"].to_numpy(dtype=str))
+        n = len(names)
+        ends = np.stack([np.searchsorted(names, pairs[c].to_numpy(dtype=str)) for c in "ab"], 1).reshape(-1, 2)
+        both = np.unique(np.vstack([ends, ends[:, ::-1]]), axis=0)
+        found = _scores(np.searchsorted(both[:, 0], np.arange(n + 1)), both[:, 1].copy(), n, np.arange(n), measure)
+        return pd.DataFrame({"v": names, "x": found / ((n - 1) * (n - 2) if measure == "betweenness" and n > 2 else 1)})
+
+    scored = vertices.groupBy("time").cogroup(links.groupBy("time")).applyInPandas(score, "v string, x double")
+    if of == "node":
+        scored = scored.where("v LIKE 'N%'").select(F.substring("v", 2, 1_000_000).alias("v"), "x")
+    return scored.groupBy(F.col("v").alias(of)).agg((F.sum("x") / n_times).alias(measure))
 
 
 # -- higher-order shortest paths

@@ -28,20 +28,21 @@ query = REGISTRY.query
 
 # -- components and reach
 
-PAIRS_OF_PARTS = "links AS (SELECT DISTINCT a.node AS u, b.node AS v FROM i a JOIN i b ON a.edge_id = b.edge_id WHERE a.size = 2)"
+STARS_SQL = """links AS (SELECT node AS u, least_node AS v FROM stars WHERE node <> least_node UNION SELECT least_node, node FROM stars WHERE node <> least_node),
+walk(node, seen) USING KEY (node) AS (
+  SELECT u, u FROM links UNION SELECT l.v, min(w.seen) FROM walk w JOIN links l ON l.u = w.node JOIN recurring.walk r ON r.node = l.v WHERE w.seen < r.seen GROUP BY l.v),
+components AS (SELECT n.node, coalesce(w.seen, n.node) AS component FROM (SELECT DISTINCT node FROM stars) n LEFT JOIN walk w ON w.node = n.node)"""
 
 
-@query(
-    f"""WITH RECURSIVE {G.PARTS_SQL}, {PAIRS_OF_PARTS},
-walk(node, seen) USING KEY (node) AS (
-  SELECT u, u FROM links UNION SELECT l.v, min(w.seen) FROM walk w JOIN links l ON l.u = w.node JOIN recurring.walk r ON r.node = l.v WHERE w.seen < r.seen GROUP BY l.v)
-SELECT n.node, coalesce(w.seen, n.node) AS component FROM (SELECT DISTINCT node FROM i) n LEFT JOIN walk w ON w.node = n.node"""
-)
+@query(f"WITH RECURSIVE {G.RECORDS_SQL}, stars AS (SELECT node, min(node) OVER (PARTITION BY edge_id) AS least_node FROM i), {STARS_SQL} SELECT node, component FROM components")
 def connected_components(spark: SparkSession, folder: str) -> DataFrame:
-    return P.connected_components(G.parts(spark, folder), size=2)
+    return P.connected_components(G.records(spark, folder))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE stars AS (SELECT node, min(node) OVER (PARTITION BY edge) AS least_node FROM hif_incidences WHERE edge IS NOT NULL AND node IS NOT NULL), {STARS_SQL},
+sizes AS (SELECT component, count(*) AS n_nodes FROM components GROUP BY component) SELECT n_nodes, count(*) AS n_components FROM sizes GROUP BY n_nodes"""
+)
 def component_sizes(spark: SparkSession, folder: str) -> DataFrame:
     """Components of the incidences as they were delivered."""
     rows = table(spark, folder, "hif_incidences").where("edge IS NOT NULL AND node IS NOT NULL").groupBy(F.col("edge").alias("seq")).agg(F.collect_set("node").alias("nodes"))
@@ -49,15 +50,26 @@ def component_sizes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {G.PARTS_SQL}, h0 AS (SELECT 1 AS node), h1 AS (SELECT DISTINCT b.node FROM i a JOIN i b ON a.edge_id = b.edge_id WHERE a.node IN (SELECT node FROM h0)),
-h2 AS (SELECT DISTINCT b.node FROM i a JOIN i b ON a.edge_id = b.edge_id WHERE a.node IN (SELECT node FROM h1))
-SELECT node, CASE WHEN node = 1 THEN 0 WHEN node IN (SELECT node FROM h1) THEN 1 ELSE 2 END AS hops FROM h2"""
+    f"""WITH RECURSIVE {G.PARTS_SQL}, reached(node, hops) USING KEY (node) AS (
+  SELECT 1::BIGINT, 0 UNION SELECT b.node, min(r.hops) + 1 FROM reached r JOIN i a ON a.node = r.node JOIN i b ON b.edge_id = a.edge_id LEFT JOIN recurring.reached x ON x.node = b.node WHERE x.node IS NULL GROUP BY b.node)
+SELECT node, hops FROM reached"""
 )
 def bfs_hops(spark: SparkSession, folder: str) -> DataFrame:
-    return P.reach(G.parts(spark, folder), spark.createDataFrame([(1,)], "node bigint"), max_depth=2)
+    return P.reach(G.parts(spark, folder), spark.createDataFrame([(1,)], "node bigint"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {G.FLOWS_SQL}, flat AS (SELECT nodes, len(nodes) AS size FROM e GROUP BY nodes),
+views AS (SELECT 'all' AS projection, nodes, size FROM flat UNION ALL SELECT 'dyads', nodes, size FROM flat WHERE size = 2 UNION ALL SELECT 'higher', nodes, size FROM flat WHERE size >= 3),
+firsts AS (SELECT projection, nodes, size, unnest(nodes) AS a FROM views), pairs AS (SELECT projection, size, a, unnest(nodes) AS b FROM firsts),
+steps AS (SELECT projection, a, b, min(size)::DOUBLE AS size FROM pairs WHERE a <> b GROUP BY ALL),
+walk(projection, a, b, hops, path, total) USING KEY (projection, a, b) AS (
+  SELECT projection, a, b, 1, [a, b], size FROM steps
+  UNION SELECT w.projection, w.a, s.b, min(w.hops) + 1, min(list_append(w.path, s.b)), arg_min(w.total + s.size, list_append(w.path, s.b))
+  FROM walk w JOIN steps s ON s.projection = w.projection AND s.a = w.b LEFT JOIN recurring.walk x ON x.projection = w.projection AND x.a = w.a AND x.b = s.b
+  WHERE x.a IS NULL AND s.b <> w.a GROUP BY w.projection, w.a, s.b)
+SELECT projection, a, b, hops, round(total / hops, 6) AS mean_size FROM walk"""
+)
 def shortest_paths(spark: SparkSession, folder: str) -> DataFrame:
     found = P.projected_paths(G.flows(spark, folder).transform(E.to_undirected))
     return found.select("projection", "a", "b", "hops", F.round("mean_size", 6).alias("mean_size"))
@@ -80,30 +92,71 @@ def supra_adjacency(spark: SparkSession, folder: str) -> DataFrame:
     return P.supra_adjacency(G.hours(spark, folder))
 
 
-@query()
+#: Nations are few: sets of them are bits of a number, and what is reached from a set are the sets that share a bit.
+REACHED_SQL = """flat AS (SELECT DISTINCT nodes FROM e), bits AS (SELECT nodes, list_sum(list_transform(nodes, lambda x: 1::BIGINT << x))::BIGINT AS m FROM flat),
+r0 AS (SELECT DISTINCT m FROM starts), r1 AS (SELECT r.m, count(*) AS n, bit_or(b.m) AS next FROM r0 r JOIN bits b ON r.m & b.m <> 0 GROUP BY r.m),
+r2 AS (SELECT r.m, count(*) AS n, bit_or(b.m) AS next FROM (SELECT DISTINCT next AS m FROM r1) r JOIN bits b ON r.m & b.m <> 0 GROUP BY r.m),
+r3 AS (SELECT r.m, count(*) AS n, bit_or(b.m) AS next FROM (SELECT DISTINCT next AS m FROM r2) r JOIN bits b ON r.m & b.m <> 0 GROUP BY r.m),
+far AS (SELECT r1.m, r1.n AS n1, r2.n AS n2, r3.n AS n3, bit_count(r1.m) AS v0, bit_count(r1.next) AS v1, bit_count(r2.next) AS v2, bit_count(r3.next) AS v3 FROM r1 JOIN r2 ON r2.m = r1.next JOIN r3 ON r3.m = r2.next)"""
+
+
+@query(
+    f"""WITH {G.FLOWS_SQL}, starts AS (SELECT DISTINCT 1::BIGINT << node AS m, node FROM (SELECT unnest(nodes) AS node FROM e)), {REACHED_SQL},
+scored AS (SELECT s.node, n1 + 3 * (n2 - n1) + 5 * (n3 - n2) + 2 * (v1 - v0) + 4 * (v2 - v1) + 6 * (v3 - v2) AS total, n3 + v3 - 1 AS reached FROM far JOIN starts s USING (m)),
+whole AS (SELECT (SELECT count(*) FROM bits) + (SELECT count(*) FROM starts) - 1 AS others) SELECT node::VARCHAR AS node, round(reached / total * reached / others, 6) AS closeness FROM scored, whole"""
+)
 def node_closeness(spark: SparkSession, folder: str) -> DataFrame:
     nations = cut(E.to_undirected(G.flows(spark, folder)))
     return rounded(P.node_path_scores(nations, "closeness"), "closeness")
 
 
-@query()
+@query(
+    f"""WITH {G.FLOWS_SQL}, starts AS (SELECT DISTINCT list_sum(list_transform(nodes, lambda x: 1::BIGINT << x))::BIGINT AS m FROM e), {REACHED_SQL},
+scored AS (SELECT b.nodes, (n1 - 1) + 2 * (n2 - n1) + 3 * (n3 - n2) AS total, n3 - 1 AS reached FROM far JOIN bits b USING (m))
+SELECT array_to_string(nodes, '|') AS edge, coalesce(round(reached / total * reached / ((SELECT count(*) FROM bits) - 1), 6), 0.0) AS closeness FROM scored"""
+)
 def s_closeness(spark: SparkSession, folder: str) -> DataFrame:
     nations = cut(E.to_undirected(G.flows(spark, folder)))
     scored = P.edge_path_scores(nations, "closeness").join(nations.select("edge_id", "nodes"), "edge_id")
     return rounded(scored.select(label(F.col("nodes")).alias("edge"), "closeness"), "closeness")
 
 
-@query()
+#: Betweenness of ``vertices`` (v) by ``links`` (u, v in both directions): all shortest paths and how many of them lead over each vertex.
+BETWEEN_SQL = """walk(a, b, hops, ways) USING KEY (a, b) AS (
+  SELECT v, v, 0, 1.0::DOUBLE FROM vertices
+  UNION SELECT w.a, l.v, min(w.hops) + 1, sum(w.ways) FROM walk w JOIN links l ON l.u = w.b LEFT JOIN recurring.walk x ON x.a = w.a AND x.b = l.v WHERE x.a IS NULL GROUP BY w.a, l.v),
+over AS (SELECT x.b AS v, sum(x.ways * y.ways / w.ways) AS s FROM walk w JOIN walk x ON x.a = w.a JOIN walk y ON y.a = x.b AND y.b = w.b WHERE w.a <> w.b AND x.b <> w.a AND x.b <> w.b AND x.hops + y.hops = w.hops GROUP BY x.b),
+n AS (SELECT count(*) AS n FROM vertices)"""
+
+
+@query(
+    f"""WITH RECURSIVE {G.KINDS_SQL}, vertices AS (SELECT edge_id AS v FROM e), links AS (SELECT a.edge_id AS u, b.edge_id AS v FROM i a JOIN i b ON a.node = b.node AND a.edge_id <> b.edge_id GROUP BY ALL HAVING count(*) >= 2), {BETWEEN_SQL}
+SELECT array_to_string(nodes, '|') AS edge, round(coalesce(s, 0) / ((n - 1) * (n - 2)), 6) AS betweenness FROM e CROSS JOIN n LEFT JOIN over ON v = edge_id"""
+)
 def s_betweenness(spark: SparkSession, folder: str) -> DataFrame:
-    nations = cut(E.to_undirected(G.flows(spark, folder)))
-    scored = P.edge_path_scores(nations, "betweenness", s=2).join(nations.select("edge_id", "nodes"), "edge_id")
+    edges = cut(G.kinds(spark, folder))
+    scored = P.edge_path_scores(edges, "betweenness", s=2).join(edges.select("edge_id", "nodes"), "edge_id")
     return rounded(scored.select(label(F.col("nodes")).alias("edge"), "betweenness"), "betweenness")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {G.KINDS_SQL}, named AS (SELECT 'E' || edge_id AS e, 'N' || node AS v FROM i), vertices AS (SELECT DISTINCT e AS v FROM named UNION SELECT v FROM named), links AS (SELECT e AS u, v FROM named UNION SELECT v, e FROM named), {BETWEEN_SQL}
+SELECT substr(v.v, 2) AS node, round(coalesce(s, 0) / ((n - 1) * (n - 2)), 6) AS betweenness FROM vertices v CROSS JOIN n LEFT JOIN over USING (v) WHERE v.v LIKE 'N%'"""
+)
 def node_betweenness(spark: SparkSession, folder: str) -> DataFrame:
-    nations = cut(E.to_undirected(G.flows(spark, folder)))
-    return rounded(P.node_path_scores(nations, "betweenness"), "betweenness")
+    return rounded(P.node_path_scores(cut(G.kinds(spark, folder)), "betweenness"), "betweenness")
+
+
+@query(
+    f"""WITH RECURSIVE {G.KINDS_SQL}, ways AS (SELECT DISTINCT d AS time, edge_id, node FROM daily JOIN e ON e.nodes = daily.nodes, unnest(e.nodes) u(node)),
+vertices AS (SELECT DISTINCT time || ':' || edge_id AS v FROM ways), links AS (SELECT DISTINCT a.time || ':' || a.edge_id AS u, b.time || ':' || b.edge_id AS v FROM ways a JOIN ways b ON a.time = b.time AND a.node = b.node AND a.edge_id <> b.edge_id),
+walk(a, b, hops) USING KEY (a, b) AS (SELECT v, v, 0 FROM vertices UNION SELECT w.a, l.v, min(w.hops) + 1 FROM walk w JOIN links l ON l.u = w.b LEFT JOIN recurring.walk x ON x.a = w.a AND x.b = l.v WHERE x.a IS NULL GROUP BY w.a, l.v),
+sizes AS (SELECT split_part(v, ':', 1) AS time, count(*) AS n FROM vertices GROUP BY 1), scored AS (SELECT split_part(a, ':', 1) AS time, split_part(a, ':', 2)::BIGINT AS edge_id, count(*) - 1 AS r, sum(hops) AS total FROM walk GROUP BY a)
+SELECT array_to_string(any_value(e.nodes), '|') AS edge, round(sum(CASE WHEN total > 0 THEN r / total * r / greatest(1, n - 1) ELSE 0 END) / (SELECT count(*) FROM sizes), 6) AS closeness FROM scored JOIN sizes USING (time) JOIN e USING (edge_id) GROUP BY edge_id"""
+)
+def averaged_closeness(spark: SparkSession, folder: str) -> DataFrame:
+    """Closeness of sets of event types in the hypergraph of each day, the mean over the days."""
+    return rounded(P.averaged_path_scores(cut(G.daily_kinds(spark, folder)), "closeness"), "closeness")
 
 
 # -- random walks and contagion
@@ -150,20 +203,34 @@ def _eye(n: int):
 # -- centralities
 
 
-@query()
+#: Rounds on the triples of parts: {step} gives y of every node; they end as the operator's do.
+ROUNDS_SQL = """t AS (SELECT edge_id, node FROM i WHERE size = 3), n AS (SELECT DISTINCT node FROM t),
+it(k, node, x, gap) AS (
+  SELECT 0, node, {first}, 1.0::DOUBLE FROM n
+  UNION ALL SELECT k, node, y / total, sqrt(sum((y / total - x) ** 2) OVER ()) FROM (
+    SELECT k + 1 AS k, node, x, y, {norm} AS total FROM (
+      SELECT any_value(w.k) AS k, w.node, any_value(w.x) AS x, {step} AS y FROM it w JOIN t ON t.node = w.node JOIN t o ON o.edge_id = t.edge_id AND o.node <> t.node JOIN t p ON p.edge_id = t.edge_id AND p.node <> t.node AND p.node <> o.node
+      JOIN it wo ON wo.node = o.node JOIN it wp ON wp.node = p.node WHERE w.gap >= {tol} AND w.k < {most} AND o.node < p.node GROUP BY w.node)))
+SELECT node, round(x, 6) AS centrality FROM it WHERE k = (SELECT max(k) FROM it)"""
+
+
+def _rounds_sql(**parts) -> str:
+    return f"WITH RECURSIVE {G.PARTS_SQL}, " + ROUNDS_SQL.format(**parts)
+
+
+@query(_rounds_sql(first="1.0::DOUBLE / sqrt(count(*) OVER ())", norm="sqrt(sum(y * y) OVER ())", step="sum(wo.x + wp.x)", tol="1e-7", most=1000))
 def clique_centrality(spark: SparkSession, folder: str) -> DataFrame:
-    triples = E.by_size(G.parts(spark, folder), size=3)
-    return rounded(C.clique_centrality(triples, max_iter=15), "centrality")
+    return rounded(C.clique_centrality(E.by_size(G.parts(spark, folder), size=3)), "centrality")
 
 
-@query()
+@query(_rounds_sql(first="1.0::DOUBLE / count(*) OVER ()", norm="sum(y) OVER ()", step="sum(wo.x * wp.x)", tol="1e-7", most=1000))
 def z_centrality(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(C.z_centrality(E.by_size(G.parts(spark, folder), size=3), max_iter=15), "centrality")
+    return rounded(C.z_centrality(E.by_size(G.parts(spark, folder), size=3)), "centrality")
 
 
-@query()
+@query(_rounds_sql(first="1.0::DOUBLE / count(*) OVER ()", norm="sum(y) OVER ()", step="sqrt(sum(wo.x * wp.x))", tol="1e-6", most=100))
 def h_centrality(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(C.h_centrality(E.by_size(G.parts(spark, folder), size=3), max_iter=15), "centrality")
+    return rounded(C.h_centrality(E.by_size(G.parts(spark, folder), size=3)), "centrality")
 
 
 @query()
@@ -268,8 +335,7 @@ def mixed_membership(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def size_model(spark: SparkSession, folder: str) -> DataFrame:
-    nations = E.to_undirected(G.flows(spark, folder))
-    memberships, _, _ = K.fit_size_model(cut(nations), 2, seed=1)
+    memberships, _, _ = K.fit_size_model(cut(G.kinds(spark, folder)), 2, seed=1)
     return memberships.select("node", F.round(F.col("u")[0], 6).alias("u0"), F.round(F.col("u")[1], 6).alias("u1"))
 
 
@@ -286,9 +352,9 @@ def core_periphery(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def edge_communities(spark: SparkSession, folder: str) -> DataFrame:
-    nations = cut(E.to_undirected(G.flows(spark, folder)))
-    found = K.edge_communities(nations, 0.7)
-    return K.overlapping_communities(nations, found).select("node", F.size("communities").alias("n_communities"))
+    edges = cut(G.kinds(spark, folder))
+    found = K.edge_communities(edges, 0.7)
+    return K.overlapping_communities(edges, found).select("node", F.size("communities").alias("n_communities"))
 
 
 # -- generators: what must hold of their results

@@ -5,6 +5,7 @@
 * parts: edge = parts of an order, weight = number of such orders (``hg_dense`` of suppliers likewise);
 * flows: directed, sources = nations of an order's suppliers, target = nation of its customer;
 * hours: temporal, edge = users with events of one type in one hour, time = hours since the epoch;
+* kinds: edge = event types that a user has on one day, weight = how often; few, whatever the number of events;
 * flags: multiplex, layer = return flag, edge = parts of an order with it;
 * arcs: directed, source and target nodes of an edge of ``hif_incidences``.
 """
@@ -14,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polyad.operators.edges import upsert
+from polyad.operators.edges import to_undirected, upsert
 from polyad.operators.records import member_records
 from polyad.plans.tables import table
 
@@ -41,6 +42,9 @@ HOURS_SQL = """groups AS (
   SELECT min(event_id) AS seq, (epoch_us(ts) // 3600000000) AS time, event_type, list_sort(list_distinct(list(user_id))) AS nodes FROM events GROUP BY ALL),
 e AS (SELECT time, nodes, min(seq) AS edge_id, count(*)::DOUBLE AS weight, len(nodes) AS size FROM groups GROUP BY time, nodes),
 i AS (SELECT edge_id, time, size, weight, unnest(nodes) AS node FROM e)""".replace("event_type, list_sort", "event_type AS kind, list_sort")
+KINDS_SQL = """daily AS (SELECT min(event_id) AS seq, epoch_us(ts) // 86400000000 AS d, list_sort(list_distinct(list(event_type))) AS nodes FROM events WHERE user_id IS NOT NULL AND event_type IS NOT NULL GROUP BY user_id, d),
+e AS (SELECT nodes, min(seq) AS edge_id, count(*)::DOUBLE AS weight, len(nodes) AS size FROM daily GROUP BY nodes),
+i AS (SELECT edge_id, size, weight, unnest(nodes) AS node FROM e)"""
 FLAGS_SQL = """groups AS (SELECT l_orderkey AS seq, l_returnflag AS layer, list_sort(list_distinct(list(l_partkey))) AS nodes FROM lineitem GROUP BY 1, 2),
 e AS (SELECT layer, nodes, min(seq) AS edge_id, count(*)::DOUBLE AS weight, len(nodes) AS size FROM groups GROUP BY layer, nodes),
 i AS (SELECT edge_id, layer, size, weight, unnest(nodes) AS node FROM e)"""
@@ -80,6 +84,16 @@ def hours(spark: SparkSession, folder: str) -> DataFrame:
     return upsert(rows, kind="temporal")
 
 
+def daily_kinds(spark: SparkSession, folder: str) -> DataFrame:
+    days = F.expr("unix_micros(cast(ts as timestamp)) div 86400000000")
+    rows = table(spark, folder, "events").where("user_id IS NOT NULL AND event_type IS NOT NULL").groupBy("user_id", days.alias("time")).agg(F.min("event_id").alias("seq"), F.collect_set("event_type").alias("nodes"))
+    return upsert(rows, kind="temporal")
+
+
+def kinds(spark: SparkSession, folder: str) -> DataFrame:
+    return to_undirected(daily_kinds(spark, folder))
+
+
 def flags(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "lineitem").groupBy(F.col("l_orderkey").alias("seq"), F.col("l_returnflag").alias("layer")).agg(F.collect_set("l_partkey").alias("nodes"))
     return upsert(rows, kind="multiplex")

@@ -13,6 +13,7 @@ from polyad.operators import projections as P
 from polyad.plans import graphs as G
 from polyad.plans.registry import Registry
 from polyad.plans.tables import table
+from polyad.runtime import cut
 
 REGISTRY = Registry()
 query = REGISTRY.query
@@ -331,23 +332,29 @@ def signature(spark: SparkSession, folder: str) -> DataFrame:
     return D.signature(G.flows(spark, folder))
 
 
-SHARE_SQL = "SELECT s.size, coalesce(round(avg(CASE WHEN e.edge_id IS NULL THEN NULL WHEN g.edge_id IS NULL THEN 0.0 ELSE 1.0 END), 6), 0.0) AS reciprocity FROM range(2, 7) s(size) LEFT JOIN e ON e.size = s.size LEFT JOIN good g ON g.edge_id = e.edge_id GROUP BY 1"
-ARCS_SQL = "arcs AS (SELECT DISTINCT s, unnest(tgt) AS t FROM (SELECT unnest(src) AS s, tgt FROM e WHERE size <= 6)), need AS (SELECT edge_id, t, unnest(tgt) AS s FROM (SELECT edge_id, unnest(src) AS t, tgt FROM e WHERE size <= 6))"
+SHARE_SQL = "SELECT s.size, coalesce(round(avg(CASE WHEN e.edge_id IS NULL THEN NULL WHEN g.edge_id IS NULL THEN 0.0 ELSE 1.0 END), 6), 0.0) AS reciprocity FROM range(2, (SELECT max(size) + 1 FROM e)) s(size) LEFT JOIN e ON e.size = s.size LEFT JOIN good g ON g.edge_id = e.edge_id GROUP BY 1"
+ARCS_SQL = "arcs AS (SELECT DISTINCT s, unnest(tgt) AS t FROM (SELECT unnest(src) AS s, tgt FROM e)), need AS (SELECT edge_id, t, unnest(tgt) AS s FROM (SELECT edge_id, unnest(src) AS t, tgt FROM e))"
 
 
-@query(f"WITH {G.FLOWS_SQL}, good AS (SELECT a.edge_id FROM e a JOIN e b ON a.src = b.tgt AND a.tgt = b.src AND a.size <= 6) {SHARE_SQL}")
+def _reciprocity(measure, spark: SparkSession, folder: str) -> DataFrame:
+    """A reciprocity of all sizes that there are."""
+    edges = cut(G.flows(spark, folder))
+    return rounded(measure(edges, max(2, edges.agg(F.max("size")).first()[0] or 0)), "reciprocity")
+
+
+@query(f"WITH {G.FLOWS_SQL}, good AS (SELECT a.edge_id FROM e a JOIN e b ON a.src = b.tgt AND a.tgt = b.src) {SHARE_SQL}")
 def exact_reciprocity(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(D.exact_reciprocity(G.flows(spark, folder), 6), "reciprocity")
+    return _reciprocity(D.exact_reciprocity, spark, folder)
 
 
 @query(f"WITH {G.FLOWS_SQL}, {ARCS_SQL}, met AS (SELECT DISTINCT edge_id, need.t FROM need JOIN arcs USING (s, t)), good AS (SELECT m.edge_id FROM met m JOIN e USING (edge_id) GROUP BY m.edge_id, len(src) HAVING count(*) = len(src)) {SHARE_SQL}")
 def strong_reciprocity(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(D.strong_reciprocity(G.flows(spark, folder), 6), "reciprocity")
+    return _reciprocity(D.strong_reciprocity, spark, folder)
 
 
 @query(f"WITH {G.FLOWS_SQL}, {ARCS_SQL}, good AS (SELECT DISTINCT edge_id FROM need JOIN arcs USING (s, t)) {SHARE_SQL}")
 def weak_reciprocity(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(D.weak_reciprocity(G.flows(spark, folder), 6), "reciprocity")
+    return _reciprocity(D.weak_reciprocity, spark, folder)
 
 
 # -- projections

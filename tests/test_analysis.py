@@ -365,3 +365,23 @@ def test_block_model_samples(spark):
     assert (N.truncated_poisson(np.array([1e-9, 3.0, 50.0]), np.random.default_rng(0)) >= 1).all()
     with pytest.raises(InvalidParameterError):
         N.sample_mixed_membership(spark, u, w, 1)
+
+
+def test_arrays_and_tables_agree(spark, monkeypatch):
+    """Rounds on arrays, for bounded incidences, give what the rounds on tables give."""
+    triples = Hypergraph.from_edges(spark, made(5, 9, 25, sizes=(3,))).cached()
+    mixed = Hypergraph.from_edges(spark, [*made(8, 10, 25), (50,)], weights=None).cached()
+
+    def all_of():
+        scores = [{r.node: r.centrality for r in triples.centrality(c, max_iter=4, seed=s).collect()} for c in ("clique", "z", "h") for s in (None, 3)]
+        fits = [K.fit_mixed_membership(mixed.edges, 2, n_iter=2, seed=4, assortative=a, u_prior=p) for a, p in ((False, 0.0), (True, 0.5))]
+        return scores, [({r.node: r.u for r in f.u.collect()}, f.w, f.log_likelihood) for f in fits]
+
+    held, fits = all_of()
+    monkeypatch.setattr(C, "HELD_INCIDENCES", 0)
+    monkeypatch.setattr(K, "HELD_INCIDENCES", 0)
+    joined, other = all_of()
+    for a, b in zip(held, joined):
+        assert a == pytest.approx(b)
+    for (u, w, value), (v, x, again) in zip(fits, other):
+        assert set(u) == set(v) and all(u[n] == pytest.approx(v[n]) for n in u) and np.allclose(w, x) and value == pytest.approx(again)
