@@ -385,3 +385,18 @@ def test_arrays_and_tables_agree(spark, monkeypatch):
         assert a == pytest.approx(b)
     for (u, w, value), (v, x, again) in zip(fits, other):
         assert set(u) == set(v) and all(u[n] == pytest.approx(v[n]) for n in u) and np.allclose(w, x) and value == pytest.approx(again)
+
+
+def test_configuration_options(spark):
+    base = Hypergraph.from_edges(spark, made(6, 30, 60)).cached().edges
+    degree = lambda e: dict((r.node, r.d) for r in E.incidences(e).groupBy("node").agg(F.sum("weight").alias("d")).collect())
+    for label in ("edge", "vertex"):
+        mixed = N.configuration_model(base, steps=120, label=label, duplicate_output="count", seed=3)
+        assert degree(mixed) == degree(base)
+        assert {tuple(r.nodes) for r in mixed.collect()} != {tuple(r.nodes) for r in base.collect()}
+    strict = N.configuration_model(base, steps=120, label="vertex", n_clash=1, duplicate_output="error", seed=3)
+    assert strict.count() == base.count() and {r.weight for r in strict.collect()} == {1.0}
+    some = N.configuration_model(base, steps=60, size=3, label="vertex", seed=1)
+    assert {tuple(r.nodes) for r in some.where("size != 3").collect()} == {tuple(r.nodes) for r in base.where("size != 3").collect()}
+    with pytest.raises(InvalidParameterError):
+        N.configuration_model(base, label="stub")
