@@ -15,49 +15,70 @@ from polyad.runtime import cut
 
 
 def binomial_tail(n: int, p: float, at_least: int) -> float:
-    """P[Binomial(n, p) >= at_least], summed in logarithms from the term at ``at_least`` on."""
-    if at_least <= 0 or p >= 1:
-        return 1.0
-    if at_least > n or p <= 0:
-        return 0.0
-    if at_least <= n * p:  # the part below is the shorter one, and no small number is lost in 1 - x
-        below = _sum_terms(n, p, 0, at_least - 1)
-        return float(max(0.0, 1.0 - below))
-    return float(min(1.0, _sum_terms(n, p, at_least, n)))
-
-
-def _sum_terms(n: int, p: float, low: int, high: int) -> float:
-    """Sum of the binomial terms low..high, ended where falling terms no longer change it."""
+    """P[Binomial(n, p) >= at_least]."""
+    return float(binomial_tails(np.array([n]), np.array([p]), np.array([at_least]))[0])
+
+
+def binomial_tails(n: np.ndarray, p: np.ndarray, at_least: np.ndarray) -> np.ndarray:
+    """P[Binomial(n, p) >= at_least] of many tests at once, summed in logarithms from the term at ``at_least`` on.
+
+    Where ``at_least`` is no more than the mean, the terms below are summed instead: they are the shorter
+    part, and no small number is lost in 1 - x.
+    """
+    n, p, k = np.asarray(n, np.int64), np.asarray(p, float), np.asarray(at_least, np.int64)
+    out = np.where((k <= 0) | (p >= 1), 1.0, 0.0)
+    open_ = (k > 0) & (k <= n) & (p > 0) & (p < 1)
+    low = open_ & (k <= n * p)
+    high = open_ & ~low
+    out[high] = np.minimum(1.0, _sums(n[high], p[high], k[high], n[high]))
+    out[low] = np.maximum(0.0, 1.0 - _sums(n[low], p[low], np.zeros(low.sum(), np.int64), k[low] - 1))
+    return out
+
+
+def _sums(n: np.ndarray, p: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Sums of the binomial terms first..last, each ended where falling terms no longer change it; 64 terms of every open sum at a time."""
+    logs_of = np.array([lgamma(a + 1) - lgamma(b + 1) - lgamma(a - b + 1) for a, b in zip(n.tolist(), first.tolist())]) if len(n) else np.zeros(0)
     odds = np.log(p) - np.log1p(-p)
-    log_first = lgamma(n + 1) - lgamma(low + 1) - lgamma(n - low + 1) + low * np.log(p) + (n - low) * np.log1p(-p)
-    total, start = 0.0, low
-    while start <= high:
-        k = np.arange(start, min(start + 63, high) + 1)
-        logs = log_first + np.concatenate([[0.0], np.cumsum(np.log(n - k[:-1]) - np.log(k[1:]) + odds)])
-        terms = np.exp(logs)
-        total += float(terms.sum())
-        end = int(k[-1])
-        if end == high or terms[-1] <= total * 1e-18 and end > n * p:
-            break
-        log_first, start = logs[-1] + np.log(n - end) - np.log(end + 1) + odds, end + 1
+    log_term = logs_of + first * np.log(p) + (n - first) * np.log1p(-p)
+    total, at, todo = np.zeros(len(n)), first.astype(np.int64).copy(), np.arange(len(n))
+    while len(todo):
+        k = at[todo, None] + np.arange(64)
+        inside = k <= last[todo, None]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            steps = np.log(np.maximum(n[todo, None] - k, 0.0)) - np.log(k + 1.0) + odds[todo, None]
+        logs = log_term[todo, None] + np.concatenate([np.zeros((len(todo), 1)), np.cumsum(steps[:, :-1], axis=1)], axis=1)
+        terms = np.where(inside, np.exp(np.where(inside, logs, -np.inf)), 0.0)
+        total[todo] += terms.sum(1)
+        done = (k[:, -1] >= last[todo]) | ((terms[:, -1] <= total[todo] * 1e-18) & (k[:, -1] > n[todo] * p[todo]))
+        log_term[todo], at[todo] = logs[:, -1] + steps[:, -1], k[:, -1] + 1
+        todo = todo[~done]
     return total
 
 
 @F.pandas_udf(DoubleType())
 def tail(n: pd.Series, p: pd.Series, at_least: pd.Series) -> pd.Series:
-    return pd.Series([binomial_tail(int(a), float(b), int(c)) for a, b, c in zip(n, p, at_least)], dtype="float64")
+    """``binomial_tails`` of a batch, each different test once."""
+    tests = pd.DataFrame({"n": n, "p": p, "k": at_least})
+    different, where = np.unique(tests.to_numpy(dtype=float), axis=0, return_inverse=True)
+    return pd.Series(binomial_tails(different[:, 0].astype(np.int64), different[:, 1], different[:, 2].astype(np.int64))[where.ravel()])
 
 
 def _stepped_up(tests: DataFrame, alpha: float) -> DataFrame:
     """``fdr``, the largest r * alpha / n_tests that the r-th least p-value is below, and ``validated`` (p < fdr); per ``size``.
 
-    ``tests`` has ``size``, ``p_value`` and ``n_possible``. Values are counted per distinct p-value first.
+    ``tests`` has ``size``, ``p_value`` and ``n_possible``. Values are counted per distinct p-value, which are
+    ranked range by range: a range's ranks begin after the ranges of the size before it.
     """
     bonf = F.lit(alpha) / F.col("n_possible")
     counts = tests.groupBy("size", "p_value", "n_possible").agg(F.count("*").alias("n"))
+    placed = cut(counts.repartitionByRange("size", "p_value").withColumn("part", F.spark_partition_id()))  # the ranges must be the same in both reads
+    of_parts = placed.groupBy("size", "part").agg(F.sum("n").alias("n"))  # a row per range and size
+    before = Window.partitionBy("size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = of_parts.select("size", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
     # the last of equal p-values has the highest rank
-    rank = F.sum("n").over(Window.partitionBy("size").orderBy("p_value").rowsBetween(Window.unboundedPreceding, 0))
-    passed = counts.withColumn("line", rank * bonf).groupBy("size").agg(F.max(F.when(F.col("p_value") < F.col("line"), F.col("line"))).alias("fdr"))
+    own = F.sum("n").over(Window.partitionBy("size", "part").orderBy("p_value").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = placed.join(starts, ["size", "part"]).withColumn("line", (F.col("start") + own) * bonf)
+    passed = ranked.groupBy("size").agg(F.max(F.when(F.col("p_value") < F.col("line"), F.col("line"))).alias("fdr"))
     joined = tests.join(passed, "size").withColumn("fdr", F.coalesce("fdr", F.lit(0.0)))
     return joined.withColumn("validated", F.col("p_value") < F.col("fdr"))
 

@@ -13,6 +13,7 @@ from polyad.operators import degree as D
 from polyad.operators import dynamics as Y
 from polyad.operators import edges as E
 from polyad.operators import generators as N
+from polyad.operators import matrices as M
 from polyad.operators import motifs as O
 from polyad.operators import paths as P
 from polyad.operators import reducibility as U
@@ -187,11 +188,38 @@ def contagion(spark: SparkSession, folder: str) -> DataFrame:
     return Y.contagion(edges, infected, 6, beta=0.2, beta_d=0.5, mu=0.1, seed=1)
 
 
-@query()
+def _spread_sql(steps: int) -> str:
+    states = ["s0 AS (SELECT DISTINCT node FROM i WHERE node % 10 = 0)"]
+    for k in range(1, steps):
+        states.append(f"""s{k} AS MATERIALIZED (SELECT node FROM s{k - 1} UNION SELECT node FROM i WHERE size IN (2, 3) AND edge_id IN (
+  SELECT edge_id FROM i WHERE size IN (2, 3) AND node IN (SELECT node FROM s{k - 1}) GROUP BY edge_id HAVING count(*) = any_value(size) - 1))""")
+    shares = " UNION ALL ".join(f"SELECT {k} AS step, (SELECT count(*) FROM s{k}) / (SELECT count(DISTINCT node) FROM i) AS share" for k in range(steps))
+    return ", ".join(states) + f" SELECT step, round(share, 9) AS share FROM ({shares})"
+
+
+@query(f"WITH {G.PARTS_SQL}, {_spread_sql(6)}")
+def contagion_certain(spark: SparkSession, folder: str) -> DataFrame:
+    """Contagion that never fails and never heals."""
+    edges = cut(G.parts(spark, folder))
+    return rounded(Y.contagion(edges, E.node_table(edges).where("node % 10 = 0"), 6, beta=1.0, beta_d=1.0, mu=0.0, seed=1), "share", digits=9)
+
+
+@query("SELECT * FROM (VALUES (40, 41, 0, true)) x(n_steps, n_nodes, n_jumps, again)")
+def random_walk(spark: SparkSession, folder: str) -> DataFrame:
+    """A walk of 40 steps: every step is along an edge, and the same seed walks the same way."""
+    edges = cut(G.suppliers(spark, folder))
+    path = Y.random_walk(edges, 1, 40, seed=3)
+    steps = spark.createDataFrame(list(zip(path, path[1:])), "a bigint, b bigint").distinct()
+    jumps = steps.join(M.transition_matrix(edges), (F.col("a") == F.col("row")) & (F.col("b") == F.col("col")), "left_anti").count()
+    return spark.createDataFrame([(len(path) - 1, len(path), jumps, path == Y.random_walk(edges, 1, 40, seed=3))], "n_steps int, n_nodes int, n_jumps bigint, again boolean")
+
+
+@query("SELECT * FROM (VALUES (0.0, -1.0), (0.5, -1.5), (1.0, -2.0)) x(alpha, exponent)")
 def master_stability(spark: SparkSession, folder: str) -> DataFrame:
     """A damped linear system, for which the exponent is -1 - alpha."""
     flat = lambda t, x: -x
-    return Y.master_stability(spark, flat, lambda x: -_eye(len(x)), lambda x: _eye(len(x)), [0.0, 0.5, 1.0], [1.0, 2.0], transient=1.0, time=20.0, step=0.05, cycles=20)
+    found = Y.master_stability(spark, flat, lambda x: -_eye(len(x)), lambda x: _eye(len(x)), [0.0, 0.5, 1.0], [1.0, 2.0], transient=1.0, time=20.0, step=0.05, cycles=20)
+    return rounded(found, "exponent", digits=3)
 
 
 def _eye(n: int):
@@ -252,10 +280,34 @@ def svh_counts(spark: SparkSession, folder: str) -> DataFrame:
     return tests.select("size", label(F.col("nodes")).alias("nodes"), "n_observed", "n_edges", F.round(F.log("expected_p"), 6).alias("log_p"))
 
 
-@query()
+#: p-values of ``tests`` (t, size, k, n, p, n_possible), whose terms far above the mean vanish, and the line that they step up to.
+STEPPED_SQL = """grown AS (SELECT t, size, n_possible, sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(p) + (n - j) * ln(1 - p))) AS p FROM tests, unnest(range(k, least(n, k + 400) + 1)) r(j) WHERE p < 1 GROUP BY ALL
+  UNION ALL SELECT t, size, n_possible, 1.0 FROM tests WHERE p >= 1),
+ranked AS (SELECT *, (SELECT count(*) FROM grown o WHERE o.size = g.size AND o.p <= g.p) AS r FROM grown g),
+lines AS (SELECT size, max(r * 0.01 / n_possible) AS line FROM ranked WHERE p < r * 0.01 / n_possible GROUP BY size)"""
+
+
+@query(
+    f"""WITH {G.RECORDS_SQL}, {TESTS_SQL}, c AS (SELECT size, count(*) AS nodes FROM k GROUP BY size),
+tests AS (SELECT e.edge_id AS t, e.size, any_value(e.weight)::BIGINT AS k, any_value(n.n) AS n, exp(sum(ln(k.k / n.n))) AS p, exp(any_value(lgamma(c.nodes + 1) - lgamma(e.size + 1) - lgamma(c.nodes - e.size + 1))) AS n_possible
+  FROM e JOIN i USING (edge_id) JOIN k ON k.size = e.size AND k.node = i.node JOIN n ON n.size = e.size JOIN c ON c.size = e.size WHERE e.size BETWEEN 2 AND 10 GROUP BY e.edge_id, e.size), {STEPPED_SQL}
+SELECT e.size, array_to_string(nodes, '|') AS nodes, e.weight::BIGINT AS n_observed, round(log10(p), 4) AS log10_p, p < coalesce(line, 0) AS validated FROM grown JOIN e ON e.edge_id = t LEFT JOIN lines ON lines.size = e.size"""
+)
 def svh(spark: SparkSession, folder: str) -> DataFrame:
     found = V.validated_edges(G.records(spark, folder))
-    return found.where("validated").select("size", label(F.col("nodes")).alias("nodes"), "n_observed", "p_value")
+    return found.select("size", label(F.col("nodes")).alias("nodes"), "n_observed", F.round(F.log10("p_value"), 4).alias("log10_p"), "validated")
+
+
+@query(
+    f"""WITH {G.RECORDS_SQL}, whole AS (SELECT sum(weight)::BIGINT AS n FROM e), shares AS (SELECT node, sum(weight) / (SELECT n FROM whole) AS share FROM i GROUP BY node),
+pairs AS (SELECT a.node AS a, b.node AS b, sum(a.weight)::BIGINT AS k FROM i a JOIN i b ON a.edge_id = b.edge_id AND a.node < b.node GROUP BY ALL),
+tests AS (SELECT (a, b) AS t, 2 AS size, k, n, x.share * y.share AS p, (SELECT count(*) * (count(*) - 1) / 2 FROM shares) AS n_possible FROM pairs JOIN shares x ON x.node = a JOIN shares y ON y.node = b, whole), {STEPPED_SQL.replace("ranked AS (SELECT *, (SELECT count(*) FROM grown o WHERE o.size = g.size AND o.p <= g.p) AS r FROM grown g)", "ranked AS (SELECT *, count(*) OVER (PARTITION BY size ORDER BY p RANGE UNBOUNDED PRECEDING) AS r FROM grown)")}
+SELECT pairs.a AS node_a, pairs.b AS node_b, pairs.k AS n_observed, round(log10(p), 3) AS log10_p FROM grown JOIN pairs ON (pairs.a, pairs.b) = t JOIN lines USING (size) WHERE p < line"""
+)
+def svc_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """Validated groups of two nodes, of all records."""
+    found = V.validated_cores(G.records(spark, folder), max_size=2)
+    return found.select(F.col("nodes")[0].alias("node_a"), F.col("nodes")[1].alias("node_b"), "n_observed", F.round(F.log10("p_value"), 3).alias("log10_p"))
 
 
 @query()
@@ -357,51 +409,106 @@ def edge_communities(spark: SparkSession, folder: str) -> DataFrame:
     return K.overlapping_communities(edges, found).select("node", F.size("communities").alias("n_communities"))
 
 
-# -- generators: what must hold of their results
+# -- generators: what must hold of their results, and what a copy of the input fails
 
-SIZES_SQL = "SELECT size, count(*) AS n_edges FROM e GROUP BY size"
 
+def _changed(old: DataFrame, new: DataFrame, keys: list[str]) -> bool:
+    """Whether more than half of the edges are no longer there."""
+    return new.join(old.select(keys), keys, "left_anti").count() * 2 > new.count()
 
-@query(f"WITH {G.PARTS_SQL} SELECT node, sum(weight)::BIGINT AS degree FROM i GROUP BY node")
+
+@query(f"WITH {G.PARTS_SQL} SELECT node, sum(weight)::BIGINT AS degree, true AS changed FROM i GROUP BY node")
 def configuration_model(spark: SparkSession, folder: str) -> DataFrame:
-    """Degrees with multiplicity, which the null model must leave as they are."""
+    """Degrees with multiplicity, which the null model must leave as they are, and whether most edges are new."""
     edges = cut(G.parts(spark, folder))
     single = edges.select("edge_id", "nodes", "size", F.lit(1.0).alias("weight"), F.explode(F.sequence(F.lit(1), F.col("weight").cast("int"))).alias("copy"))
     single = cut(single.withColumn("edge_id", F.xxhash64("edge_id", "copy")).drop("copy"))
-    mixed = N.edge_swaps(single, steps=3 * single.count(), seed=1)
-    return E.incidences(mixed).groupBy("node").agg(F.sum("weight").cast("bigint").alias("degree"))
+    mixed = cut(N.configuration_model(single, duplicate_output="count", seed=1))
+    return E.incidences(mixed).groupBy("node").agg(F.sum("weight").cast("bigint").alias("degree")).withColumn("changed", F.lit(_changed(edges.where("size > 1"), mixed.where("size > 1"), ["nodes"])))
+
 
+@query(f"WITH {G.PARTS_SQL} SELECT size, count(*) AS n_edges, size = 3 AS changed FROM e WHERE size > 1 GROUP BY size")
+def configuration_vertex(spark: SparkSession, folder: str) -> DataFrame:
+    """Triples mixed without ever making two equal; all other edges stay as they are."""
+    edges = cut(G.parts(spark, folder).where("size > 1"))
+    mixed = cut(N.configuration_model(edges, size=3, label="vertex", duplicate_output="error", seed=1))
+    rows = [(r["size"], r["count"], _changed(edges, mixed.where(F.col("size") == r["size"]), ["nodes"])) for r in mixed.groupBy("size").count().collect()]  # a row per size
+    return spark.createDataFrame(rows, "size int, n_edges bigint, changed boolean")
 
-@query(f"WITH {G.FLOWS_SQL}, t AS (SELECT 'target' AS role, unnest(tgt) AS node, weight FROM e UNION ALL SELECT 'source', unnest(src), weight FROM e) SELECT role, node, count(*) AS degree FROM t GROUP BY role, node")
+
+@query(f"WITH {G.FLOWS_SQL}, t AS (SELECT 'target' AS role, unnest(tgt) AS node, weight FROM e UNION ALL SELECT 'source', unnest(src), weight FROM e) SELECT role, node, count(*) AS degree, true AS changed FROM t GROUP BY role, node")
 def directed_configuration_model(spark: SparkSession, folder: str) -> DataFrame:
     edges = cut(G.flows(spark, folder).withColumn("weight", F.lit(1.0)))
-    mixed = N.directed_configuration_model(edges, seed=1)
-    return E.incidences(mixed).groupBy("role", "node").agg(F.sum("weight").cast("bigint").alias("degree"))
+    mixed = cut(N.directed_configuration_model(edges, seed=1))
+    new = mixed.join(edges.select("src", "tgt"), ["src", "tgt"], "left_anti").count()
+    return E.incidences(mixed).groupBy("role", "node").agg(F.sum("weight").cast("bigint").alias("degree")).withColumn("changed", F.lit(new * 10 > mixed.count()))
 
 
-@query()
+@query("SELECT * FROM (VALUES (2, 400), (3, 200), (5, 100)) s(size, most), (SELECT 0 AS n_bad, true AS close, true AS again)")
 def random_hypergraph(spark: SparkSession, folder: str) -> DataFrame:
-    n = table(spark, folder, "part").count()
-    return E.size_distribution(N.random_hypergraph(spark, n, {2: n, 3: n // 2, 5: n // 4}, seed=1))
+    """Edges per size: as many draws as wanted, distinct nodes out of the range, few equal draws, and the same again from the same seed."""
+    wanted = {2: 400, 3: 200, 5: 100}
+    drawn = [cut(N.random_hypergraph(spark, 300, wanted, seed=1)) for _ in range(2)]
+    bad = (F.size(F.array_distinct("nodes")) != F.col("size")) | (F.array_min("nodes") < 0) | (F.array_max("nodes") >= 300)
+    same = drawn[0].join(drawn[1], "nodes", "left_anti").isEmpty()
+    rows = drawn[0].groupBy("size").agg(F.count("*").alias("n"), F.sum(bad.cast("int")).alias("n_bad")).collect()  # a row per size
+    return spark.createDataFrame([(r["size"], wanted[r["size"]], r.n_bad, wanted[r["size"]] * 0.97 <= r.n <= wanted[r["size"]], same) for r in rows], "size int, most int, n_bad bigint, close boolean, again boolean")
 
 
-@query(f"WITH {G.PARTS_SQL} SELECT size, sum(weight) AS total FROM e GROUP BY size")
+@query(f"WITH {G.PARTS_SQL} SELECT size, sum(weight) AS total, size = 4 AS changed FROM e WHERE size > 1 GROUP BY size")
 def random_shuffle(spark: SparkSession, folder: str) -> DataFrame:
-    mixed = N.random_shuffle(cut(G.parts(spark, folder)), size=4, p=0.5, seed=1)
-    return mixed.groupBy("size").agg(F.sum("weight").alias("total"))
+    """Weights per size stay; of the shuffled size about the wanted half of the edges are new, of the others none."""
+    edges = cut(G.parts(spark, folder).where("size > 1"))
+    mixed = cut(N.random_shuffle(edges, size=4, p=0.5, seed=1))
+    new = mixed.join(edges.select("nodes"), "nodes", "left_anti").groupBy("size").agg(F.count("*").alias("new"))
+    found = mixed.groupBy("size").agg(F.sum("weight").alias("total"), F.count("*").alias("n")).join(new, "size", "left")
+    return found.select("size", "total", (F.coalesce("new", F.lit(0)).between(F.col("n") * 0.35, F.col("n") * 0.65) & (F.coalesce("new", F.lit(0)) > 0)).alias("changed"))
 
 
-@query()
+@query(f"WITH {G.PARTS_SQL} SELECT size, count(*) + CASE WHEN size = 3 THEN 50 ELSE 0 END AS total_edges FROM e GROUP BY size")
+def random_added(spark: SparkSession, folder: str) -> DataFrame:
+    """50 more triples of random nodes: weights of edges that were there, or edges that are new."""
+    edges = cut(G.parts(spark, folder).withColumn("weight", F.lit(1.0)))
+    mixed = N.add_random_edges(edges, E.node_table(edges), 3, 50, seed=1)
+    return mixed.groupBy("size").agg(F.sum("weight").cast("bigint").alias("total_edges"))
+
+
+@query("SELECT * FROM (VALUES (2, 1000, 0, true), (3, 500, 0, true)) x(size, n_edges, n_bad, skewed)")
 def scale_free(spark: SparkSession, folder: str) -> DataFrame:
-    return D.degree_distribution(N.scale_free(spark, 500, {2: 1000, 3: 500}, rho=0.5, seed=1))
+    """Exactly the wanted edges, of distinct nodes, with hubs far above the mean."""
+    found = cut(N.scale_free(spark, 500, {2: 1000, 3: 500}, rho=0.5, seed=1))
+    bad = F.size(F.array_distinct("nodes")) != F.col("size")
+    top = D.degrees(found).agg(F.max("degree") > 5 * F.avg("degree")).first()[0]
+    return found.groupBy("size").agg(F.count("*").alias("n_edges"), F.sum(bad.cast("int")).alias("n_bad")).withColumn("skewed", F.lit(top))
 
 
-@query()
+@query("SELECT * FROM (VALUES (2, 0, true), (3, 0, true), (6, 0, true)) x(size, n_bad, close)")
 def activity_driven(spark: SparkSession, folder: str) -> DataFrame:
+    """Sizes, times and nodes in range, and about as many edges as the activities make one expect."""
     activities = {k: N.power_law(100, 0.01, 0.5, -2.2, seed=k).tolist() for k in (1, 2, 5)}
-    return E.size_distribution(N.activity_driven(spark, activities, 100, seed=1))
+    found = cut(N.activity_driven(spark, activities, 100, seed=1))
+    bad = (F.col("time") < 0) | (F.col("time") >= 100) | (F.array_max("nodes") >= 100) | (F.size(F.array_distinct("nodes")) != F.col("size"))
+    expect = {k + 1: 100 * sum(a) for k, a in activities.items()}
+    rows = found.groupBy("size").agg(F.sum("weight").alias("n"), F.sum(bad.cast("int")).alias("n_bad")).collect()  # a row per size
+    return spark.createDataFrame([(r["size"], r.n_bad, 0.6 * expect[r["size"]] < r.n < 1.1 * expect[r["size"]]) for r in rows], "size int, n_bad bigint, close boolean")
 
 
-@query()
+@query("SELECT 0 AS n_bad, true AS some, true AS again")
 def group_attractiveness(spark: SparkSession, folder: str) -> DataFrame:
-    return E.size_distribution(N.group_attractiveness(spark, 60, 40, box=12.0, seed=1))
+    """Groups of at least two of the agents at every time of the range, and the same again from the same seed."""
+    drawn = [cut(N.group_attractiveness(spark, 60, 40, box=12.0, seed=1)) for _ in range(2)]
+    bad = (F.col("size") < 2) | (F.col("time") >= 40) | (F.array_max("nodes") >= 60)
+    same = drawn[0].join(drawn[1], ["time", "nodes"], "left_anti").isEmpty()
+    return drawn[0].agg(F.sum(bad.cast("int")).cast("bigint").alias("n_bad"), (F.count("*") > 40).alias("some")).withColumn("again", F.lit(same))
+
+
+@query("SELECT 3 AS n_samples, 0 AS n_bad, true AS together")
+def model_samples(spark: SparkSession, folder: str) -> DataFrame:
+    """Samples of a block model of two communities: sizes in range, and most edges within one community."""
+    import numpy as np
+
+    u = np.array([[1.0, 0.0]] * 30 + [[0.0, 1.0]] * 30) * 0.5
+    found = cut(N.sample_mixed_membership(spark, u, np.array([[1.0, 0.01], [0.01, 1.0]]), 4, n_samples=3, burn_in=4000, thinning=0, seed=1))
+    bad = (F.size("nodes") < 2) | (F.size("nodes") > 4) | (F.col("weight") < 1)
+    within = (F.array_max("nodes") < 30) | (F.array_min("nodes") >= 30)
+    return found.agg(F.countDistinct("sample").alias("n_samples"), F.sum(bad.cast("int")).cast("bigint").alias("n_bad"), (F.avg(within.cast("int")) > 0.6).alias("together"))
