@@ -146,13 +146,21 @@ def p7_kinds(spark: SparkSession, folder: str) -> DataFrame:
     return packing_report(table(spark, folder, "documents"), table(spark, folder, "container_sizes"))
 
 
-@REGISTRY.query()
+SHARES_SQL = """WITH letters AS (SELECT doc_id, regexp_replace(lower(coalesce(text, '')), '[^\\p{L}]', '', 'g') AS t FROM documents),
+sized AS (SELECT doc_id, t, length(t) AS n FROM letters),
+runs AS (SELECT doc_id, k, substring(t, k::BIGINT, 24) AS run FROM sized, unnest(range(1, greatest(n - 22, 1))) r(k)),
+again AS (SELECT doc_id, k, lead(k) OVER (PARTITION BY doc_id ORDER BY k) AS next FROM (SELECT doc_id, k, row_number() OVER (PARTITION BY doc_id, run ORDER BY k) AS nth FROM runs) WHERE nth > 1),
+covered AS (SELECT doc_id, sum(least(24, coalesce(next - k, 24))) AS n_repeated FROM again GROUP BY doc_id),
+shares AS (SELECT s.doc_id, s.n AS n_letters, coalesce(c.n_repeated, 0)::BIGINT AS n_repeated FROM sized s LEFT JOIN covered c USING (doc_id))"""
+
+
+@REGISTRY.query(SHARES_SQL + " SELECT doc_id FROM shares WHERE n_letters >= 100 AND n_repeated * 10 >= n_letters * 3")
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     shares = repeated_letters(table(spark, folder, "documents"), run=24)
     return shares.where((F.col("n_letters") >= 100) & (F.col("n_repeated") * 10 >= F.col("n_letters") * 3)).select("doc_id")
 
 
-@REGISTRY.query()
+@REGISTRY.query(SHARES_SQL + " SELECT doc_id, n_letters, n_repeated, CASE WHEN n_letters > 0 THEN round(n_repeated / n_letters, 6) ELSE 0.0 END AS share FROM shares")
 def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
     shares = repeated_letters(table(spark, folder, "documents"), run=24)
     share = F.when(F.col("n_letters") > 0, F.col("n_repeated") / F.col("n_letters")).otherwise(F.lit(0.0))
