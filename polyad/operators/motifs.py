@@ -9,6 +9,7 @@ table of all relabelings that is computed once and is of fixed size.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from functools import cache
 from itertools import combinations, permutations
 
@@ -23,6 +24,10 @@ from polyad.operators.projections import subsets_of_size
 from polyad.runtime import cut
 
 
+#: Randomized hypergraphs whose jobs are submitted at a time.
+PARALLEL_RUNS = 4
+
+
 @cache
 def slots(n: int) -> tuple[tuple[int, ...], ...]:
     """The possible edges of n nodes, in the order of their bits."""
@@ -113,10 +118,13 @@ def motif_profile(edges: DataFrame, n: int = 3, *, runs: int = 10, seed: int = 0
     null model swaps nodes between edges of one size, keeping degrees and sizes.
     """
     observed = {r.pattern: r["count"] for r in count_motifs(edges, n).collect()}  # a row per pattern
-    randomized = []
-    for k in range(runs):
+
+    def null_counts(k: int) -> dict[str, int]:
         null = cut(edge_swaps(edges, steps=steps, seed=seed * 1000 + k))
-        randomized.append({r.pattern: r["count"] for r in count_motifs(null, n).collect()})
+        return {r.pattern: r["count"] for r in count_motifs(null, n).collect()}
+
+    with ThreadPoolExecutor(PARALLEL_RUNS) as pool:  # the runs don't depend on each other
+        randomized = list(pool.map(null_counts, range(runs)))
     rows, length = [], 0.0
     for pattern, count in observed.items():
         null = np.array([r[pattern] for r in randomized], dtype=float) if randomized else np.zeros(1)
