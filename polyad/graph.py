@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from polyad.errors import InvalidParameterError, MissingEdgeError, MissingNodeError
-from polyad.operators import centrality, degree, dynamics, edges as E, matrices, motifs, paths, projections, reducibility, validation
+from polyad.operators import centrality, degree, dynamics, edges as E, fits, matrices, motifs, paths, projections, reducibility, validation
 from polyad.runtime import cut
 from polyad.sources.files import TYPES, Stored, content_hash, read_hypergraph, write_hypergraph
 
@@ -411,6 +411,21 @@ class Hypergraph:
     def motifs(self, n: int = 3) -> DataFrame:
         return (motifs.count_directed_motifs if self.kind == "directed" else motifs.count_motifs)(self.edges, n)
 
+    def core_periphery(self, **options: Any) -> fits.Scores:
+        return fits.core_periphery(self.edges, **options)
+
+    def edge_clusters(self, height: float, **options: Any) -> fits.EdgeClusters:
+        return fits.edge_clusters(self.edges, height, **options)
+
+    def spectral(self, k: int, **options: Any) -> fits.HardClusters:
+        return fits.spectral(self.edges, k, nodes=self.nodes, **options)
+
+    def size_model(self, k: int, **options: Any) -> fits.SoftClusters:
+        return fits.size_model(self.edges, k, **options)
+
+    def mixed_membership(self, k: int, **options: Any) -> fits.SoftClusters:
+        return fits.mixed_membership(self.edges, k, **options)
+
     def reducibility(self, **options: Any) -> tuple[float, tuple[int, ...]]:
         return reducibility.reducibility(self.edges, self.nodes, **options)
 

@@ -40,11 +40,11 @@ def given(monkeypatch, module, name, query, spark):
 
 
 def test_paths_over_all_edges(spark, monkeypatch):
-    flat = E.to_undirected(G.flows(spark, DATA))
+    flat, kinds = E.to_undirected(G.flows(spark, DATA)), G.kinds(spark, DATA)
     assert A.s_closeness(spark, DATA).count() == flat.count() > E.by_size(flat, size=3, up_to=True).count()
-    for module, name, query in [(P, "node_path_scores", A.node_closeness), (P, "node_path_scores", A.node_betweenness), (P, "edge_path_scores", A.s_betweenness), (K, "fit_size_model", A.size_model), (K, "edge_communities", A.edge_communities)]:
+    for module, name, query, whole in [(P, "node_path_scores", A.node_closeness, flat)] + [(*x, kinds) for x in [(P, "node_path_scores", A.node_betweenness), (P, "edge_path_scores", A.s_betweenness), (K, "fit_size_model", A.size_model), (K, "edge_communities", A.edge_communities)]]:
         edges = given(monkeypatch, module, name, query, spark)[0][0]
-        assert edges.count() == flat.count()
+        assert edges.count() == whole.count()
 
 
 def test_dense_paths_agree(spark, monkeypatch):
