@@ -336,7 +336,14 @@ def motifs_order4(spark: SparkSession, folder: str) -> DataFrame:
     return O.count_motifs(cut(G.parts(spark, folder)), 4)
 
 
-@query()
+@query(
+    f"""WITH {G.FLOWS_SQL}, used AS (SELECT DISTINCT src, tgt, nodes FROM e WHERE len(src) > 0 AND len(tgt) > 0 AND len(nodes) <= 3),
+sets AS (SELECT DISTINCT nodes FROM used WHERE len(nodes) = 3), arcs AS (SELECT s.nodes AS whole, u.src, u.tgt FROM sets s JOIN used u ON list_has_all(s.nodes, u.nodes)),
+perms AS (SELECT [a, b, 6 - a - b] AS p FROM range(1, 4) x(a), range(1, 4) y(b) WHERE a <> b),
+named AS (SELECT whole, p, array_to_string(list_sort(list_transform(src, lambda x: p[list_position(whole, x)])), '') || '>' || array_to_string(list_sort(list_transform(tgt, lambda x: p[list_position(whole, x)])), '') AS t FROM arcs, perms),
+texts AS (SELECT whole, p, string_agg(t, ' ' ORDER BY t) AS text FROM named GROUP BY whole, p), least_of AS (SELECT whole, min(text) AS pattern FROM texts GROUP BY whole)
+SELECT pattern, count(*) AS "count" FROM least_of GROUP BY pattern"""
+)
 def motifs_directed(spark: SparkSession, folder: str) -> DataFrame:
     return O.count_directed_motifs(cut(G.flows(spark, folder)), 3)
 
