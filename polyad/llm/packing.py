@@ -26,9 +26,6 @@ from polyad.runtime import bounded_rows, cut
 
 #: The largest capacity; the table of counts per size that reaches the driver has no more rows.
 LARGEST = 1_000_000
-#: Passes of the reduction, and sizes that its searches for pairs may go over in all; both only bound how much is fixed.
-PASSES = 32
-WORK = 20_000_000
 
 
 @dataclass
@@ -66,7 +63,6 @@ class _Left:
     def __init__(self, counts: dict[int, int]):
         self.n = {s: n for s, n in counts.items() if n > 0}
         self.sizes = sorted(self.n)
-        self.work = 0
 
     def take(self, items: Counter, times: int) -> None:
         for size, per in items.items():
@@ -82,19 +78,21 @@ class _Left:
             k -= 1
         return self.sizes[k] if k >= 0 else None
 
-    def smallest(self, how_many: int, without: Counter) -> list[int]:
+    def smallest(self, how_many: int, without: Counter, above: int = 0) -> list[int]:
+        """The smallest items larger than ``above``."""
         found: list[int] = []
-        for size in self.sizes:
+        k = bisect_left(self.sizes, above + 1)
+        while k < len(self.sizes) and len(found) < how_many:
+            size = self.sizes[k]
             found += [size] * min(how_many - len(found), self.n[size] - without[size])
-            if len(found) == how_many:
-                break
+            k += 1
         return found
 
-    def pair_sums(self, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-        """For every room up to the capacity, the largest sum <= room of two items, 0 without any, and in how many orders each sum is made.
+    def pair_sums(self, capacity: int) -> np.ndarray:
+        """For every room up to the capacity, the ordered pairs of sizes of which two items have a sum <= room.
 
         All sums of two sizes at once are the product of the sizes' indicator with itself, by a fast
-        Fourier transform. Items that are taken later only make the true sums smaller.
+        Fourier transform. Items that are taken later only make the true numbers smaller.
         """
         held = np.zeros(capacity + 1)
         held[self.sizes] = 1.0
@@ -102,39 +100,24 @@ class _Left:
         ways = np.rint(np.fft.irfft(np.fft.rfft(held, width) ** 2, width)[: capacity + 1]).astype(np.int64)
         single = 2 * np.array([s for s, n in self.n.items() if n == 1 and 2 * s <= capacity], dtype=np.int64)
         ways[single] -= 1  # one item is no pair
-        return np.maximum.accumulate(np.where(ways > 0, np.arange(capacity + 1), 0)), ways
-
-    def best_pair(self, room: int, above: int, without: Counter, least: int = 0) -> int | None:
-        """The largest sum <= room, if it exceeds ``least``, of two items larger than ``above``; 0 without any, None if that takes more work than is left."""
-        # the smaller of two items with a sum in (least, room] is at most room / 2
-        low, middle = bisect_left(self.sizes, above + 1), bisect_left(self.sizes, room // 2 + 1)
-        end = bisect_left(self.sizes, room - above)
-        if low >= middle:
-            return 0
-        self.work += end - low
-        if self.work > WORK:
-            return None
-        sizes = np.array(self.sizes[low:end], dtype=np.int64)
-        free = np.array([self.n[s] for s in self.sizes[low:end]], dtype=np.int64)
-        for s, k in without.items():
-            at = bisect_left(self.sizes, s) - low
-            if 0 <= at < len(sizes) and sizes[at] == s:
-                free[at] -= k
-        sizes, free = sizes[free > 0], free[free > 0]
-        small = np.flatnonzero(sizes <= room // 2)
-        at = np.searchsorted(sizes, room - sizes[small], side="right") - 1
-        at = np.where((at == small) & (free[small] < 2), at - 1, at)
-        good = at >= small
-        best = int((sizes[small][good] + sizes[at[good]]).max()) if good.any() else 0
-        return best if best > least else 0
-
-
-def dominating_set(left: _Left, size: int, capacity: int, sums: tuple[np.ndarray, np.ndarray] | None = None) -> Counter | None:
+        return np.cumsum(ways)
+
+    def has_pair(self, least: int, room: int, size: int, sums: np.ndarray) -> bool:
+        """Whether two items besides one of ``size`` have a sum in (``least``, ``room``], by all pairs less those that need this one."""
+        pairs, both = int(sums[room] - sums[least]), least < 2 * size <= room
+        if self.n[size] == 1:
+            pairs -= 2 * (bisect_left(self.sizes, room - size + 1) - bisect_left(self.sizes, least - size + 1) - both)
+        elif self.n[size] == 2:
+            pairs -= both
+        return pairs > 0
+
+
+def dominating_set(left: _Left, size: int, capacity: int, sums: np.ndarray | None = None) -> Counter | None:
     """A set that holds an item of ``size`` and dominates every feasible set that does, if one of up to three items is known to.
 
     A set dominates another if the other's items can be parted so that each part is matched by an item
-    of the set that is no smaller than the part's sum. ``sums`` are pair sums of these items or more; they
-    answer most questions without a search.
+    of the set that is no smaller than the part's sum. ``sums`` are the pair sums of these items; with
+    those of more items a set may be missed, never a wrong one found.
     """
     own = Counter([size])
     room = capacity - size
@@ -148,23 +131,14 @@ def dominating_set(left: _Left, size: int, capacity: int, sums: tuple[np.ndarray
         return own + Counter([best])
     if len(low) == 3 and sum(low) <= room:
         return None
-    if sums is not None and sums[0][room] <= best:
-        return own + Counter([best])
-    if sums is None or left.n[size] <= 2 and size <= room and _own_only(sums, room, size):
-        whole = left.best_pair(room, 0, own)
-        if whole is not None and whole <= best:
-            return own + Counter([best])
     pair = own + Counter([best])
     third = left.largest(room - best, pair)
-    if third is None or left.best_pair(room, third, own, best) != 0:
-        return None
-    return pair + Counter([third])
-
-
-def _own_only(sums: tuple[np.ndarray, np.ndarray], room: int, size: int) -> bool:
-    """Whether the largest sum may be made with the item of ``size`` alone."""
-    most = sums[0][room]
-    return sums[1][most] <= (1 if most == 2 * size else 2)
+    if third is None:
+        return None if left.has_pair(best, room, size, left.pair_sums(capacity) if sums is None else sums) else pair
+    # Two items larger than the third have a sum of low[1] + low[2] at least, more than room - low[0] and
+    # so more than the best, which leaves room for the third: only whether two of them fit is open.
+    two = left.smallest(2, own, third)
+    return None if len(two) == 2 and sum(two) <= room else pair + Counter([third])
 
 
 def lower_bound(counts: dict[int, int], capacity: int) -> int:
@@ -186,13 +160,14 @@ def lower_bound(counts: dict[int, int], capacity: int) -> int:
 def plan(counts: dict[int, int], capacity: int) -> Runs:
     """Runs that place ``counts[size]`` items of every size (1..capacity).
 
-    The reduction goes over the sizes, largest first, until a pass fixes nothing, or after ``PASSES``; any
-    number of passes is valid, for what isn't fixed is packed by best fit.
+    The reduction goes over the sizes, largest first, until a pass fixes nothing: its pair sums are those
+    of the items left, so no size has a dominating set any more. What isn't fixed is packed by best fit.
     """
     if any(not 0 < s <= capacity for s in counts):
         raise InvalidParameterError("sizes must lie between 1 and the capacity")
     left, runs = _Left(counts), Runs()
-    for _ in range(PASSES):  # a set that is fixed uses a size up, all but one item at most
+    changed = True
+    while changed:  # a set that is fixed uses a size up, all but one item at most
         changed, sums = False, left.pair_sums(capacity)
         for size in reversed(left.sizes.copy()):
             while size in left.n and (found := dominating_set(left, size, capacity, sums)):
@@ -200,8 +175,6 @@ def plan(counts: dict[int, int], capacity: int) -> Runs:
                 left.take(found, times)
                 runs.fix(found, times)
                 changed = True
-        if not changed:
-            break
     open_bins: dict[int, list[tuple[int, int]]] = {}
     rooms: list[int] = []
 

@@ -2,6 +2,7 @@ import random
 import time
 from collections import Counter, defaultdict
 from functools import lru_cache
+from itertools import combinations
 
 import pytest
 from pyspark.sql import functions as F
@@ -69,6 +70,47 @@ def test_fixed_sets_are_part_of_a_best_packing():
     assert fixed > 100
 
 
+def dominating(items, size, capacity):
+    """The set that ``dominating_set`` is to find, by all pairs and triples of the other items."""
+    others, room = sorted(items), capacity - size
+    others.remove(size)
+    best = max((x for x in others if x <= room), default=None)
+    pairs = [p for p in combinations(others, 2) if sum(p) <= room]
+    if best is None:
+        return Counter([size])
+    if best == room or not pairs or max(map(sum, pairs)) <= best and sum(others[:3]) > room:
+        return Counter([size, best])
+    if len(others) > 2 and sum(others[:3]) <= room:
+        return None
+    others.remove(best)
+    third = max((x for x in others if x <= room - best), default=None)
+    if third is None or any(min(p) > third and sum(p) > best for p in pairs):
+        return None
+    return Counter([size, best, third])
+
+
+def test_dominating_sets_are_those_of_all_pairs():
+    rng, kinds = random.Random(8), Counter()
+    for _ in range(3000):
+        capacity = rng.randint(4, 60)
+        low = rng.randint(1, capacity // 3)
+        items = [rng.randint(low, rng.randint(low, capacity)) for _ in range(rng.randint(1, 9))]
+        left = _Left(Counter(items))
+        for size in set(items):
+            found = dominating_set(left, size, capacity, left.pair_sums(capacity))
+            assert found == dominating(items, size, capacity), (items, size, capacity)
+            kinds[found and found.total()] += 1
+    assert min(kinds[k] for k in (None, 1, 2, 3)) > 100
+
+
+def test_the_reduction_goes_on_to_its_end():
+    """13,107 sizes, each of which has many partners: all containers are fixed, not the first few."""
+    counts = dict.fromkeys(range(32_768, 45_875), 1)
+    runs = plan(counts, 131_072)
+    assert Counter(x for b in contents(runs).values() for x in b) == counts
+    assert runs.fixed == runs.containers == 4369
+
+
 def test_large_counts_are_few_runs():
     rng = random.Random(3)
     counts = {s: rng.randint(1, 10_000_000) for s in range(1, 171)}
