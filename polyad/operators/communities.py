@@ -322,23 +322,22 @@ def core_profile(n: int, alpha: float, beta: float) -> np.ndarray:
     return np.where(i <= b, low, high)
 
 
-def core_periphery(edges: DataFrame, *, rounds: int = 1000, greedy_start: bool = False, seed: int = 0, limit: int = 200_000) -> DataFrame:
+def core_periphery(edges: DataFrame, *, rounds: int = 1000, greedy_start: bool = False, seed: int = 0) -> DataFrame:
     """``node``, ``coreness`` in 0..1: mean over rounds of the core values that hill-climbing gives, weighed by their quality.
 
     A round draws alpha and beta and swaps the ranks of two nodes 10 N times wherever the quality, the
-    sum of w / |e| times the core values of the edge's nodes, rises. Rounds are independent: they run as
-    parallel tasks over the same edges, of which there may be ``limit`` at most.
+    sum of w / |e| times the core values of the edge's nodes, rises. The quality is linear in the core values,
+    so rounds need one number per node, which Spark sums over any number of edges. They are independent and run
+    as parallel tasks.
     """
     spark = edges.sparkSession
-    rows = bounded_rows(edges.select("nodes", "weight"), limit, "edges of a core-periphery model")
+    of_size = edges.select(F.explode("nodes").alias("node"), F.size("nodes").alias("size"), "weight").groupBy("node", "size").agg(F.sum("weight").alias("w"))
+    # added up in the order of the sizes, so that the numbers are the same however rows are spread
+    whole = F.aggregate(F.array_sort(F.collect_list(F.struct("size", "w"))), F.lit(0.0), lambda s, x: s + x["w"] / x["size"])
+    rows = sorted((r.node, r.pull) for r in of_size.groupBy("node").agg(whole.alias("pull")).collect())  # a row per node, as in the result
     if not rows:
         raise InvalidParameterError("there are no edges")
-    names = sorted({x for r in rows for x in r.nodes})
-    at = {x: j for j, x in enumerate(names)}
-    pull = np.zeros(len(names))  # the quality is linear in the core values: each node's coefficient
-    for r in rows:
-        for x in r.nodes:
-            pull[at[x]] += r.weight / len(r.nodes)
+    names, pull = [x for x, _ in rows], np.array([p for _, p in rows])
     degree_order = np.argsort(np.argsort(pull, kind="stable"), kind="stable")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
