@@ -42,16 +42,24 @@ def walk_stationary(edges: DataFrame) -> DataFrame:
 def random_walk(edges: DataFrame, start, steps: int, *, seed: int = 0) -> list:
     """One walk of ``steps`` steps from ``start``: a list of steps + 1 nodes.
 
-    Every step reads only the row of the present node.
+    Every step reads the edges of the present node and no matrix is made: a node is walked to in proportion to
+    the sum of (size - 1) over the edges that it shares with the present one.
     """
-    moves = cut(transition_matrix(edges))
+    held = edges.where("size(nodes) > 1").select("nodes")
     rng, path = np.random.default_rng(seed), [start]
     for _ in range(steps):
-        row = moves.where(F.col("row") == path[-1]).select("col", "val").orderBy("col").collect()  # a node's own neighbors
-        if not row:
+        own = held.where(F.array_contains("nodes", path[-1])).toArrow().column("nodes")  # a node's own edges
+        lists = [x.as_py() for x in own]
+        weight: dict = {}
+        for nodes in lists:
+            for x in nodes:
+                weight[x] = weight.get(x, 0) + len(nodes) - 1
+        weight.pop(path[-1], None)
+        if not weight:
             raise MissingNodeError(f"{path[-1]!r} has no neighbors to walk to")
-        p = np.array([r.val for r in row])
-        path.append(row[int(rng.choice(len(row), p=p / p.sum()))].col)
+        near = sorted(weight)
+        p = np.array([weight[x] for x in near], dtype=float)
+        path.append(near[int(rng.choice(len(near), p=p / p.sum()))])
     return path
 
 

@@ -13,11 +13,11 @@ from polyad.operators import degree as D
 from polyad.operators import dynamics as Y
 from polyad.operators import edges as E
 from polyad.operators import generators as N
-from polyad.operators import matrices as M
 from polyad.operators import motifs as O
 from polyad.operators import paths as P
 from polyad.operators import reducibility as U
 from polyad.operators import validation as V
+from polyad.operators.projections import node_pairs
 from polyad.plans import graphs as G
 from polyad.plans.registry import Registry
 from polyad.plans.structure import PAIRED_SQL, rounded
@@ -210,7 +210,9 @@ def random_walk(spark: SparkSession, folder: str) -> DataFrame:
     edges = cut(G.suppliers(spark, folder))
     path = Y.random_walk(edges, 1, 40, seed=3)
     steps = spark.createDataFrame(list(zip(path, path[1:])), "a bigint, b bigint").distinct()
-    jumps = steps.join(M.transition_matrix(edges), (F.col("a") == F.col("row")) & (F.col("b") == F.col("col")), "left_anti").count()
+    ends = steps.select("a", "b", F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high"))
+    pairs = node_pairs(edges).select(F.col("a").alias("low"), F.col("b").alias("high"))
+    jumps = steps.count() - pairs.join(F.broadcast(ends), ["low", "high"]).select("a", "b").distinct().count()  # as many ends as steps
     return spark.createDataFrame([(len(path) - 1, len(path), jumps, path == Y.random_walk(edges, 1, 40, seed=3))], "n_steps int, n_nodes int, n_jumps bigint, again boolean")
 
 
