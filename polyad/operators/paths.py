@@ -26,6 +26,8 @@ ALL_LINKS = 5_000_000
 DENSE_NODES = 128
 DENSE_EDGES = 200_000
 OVERLAP_EDGES = 20_000
+#: Nodes up to which edges are counted in a table of all sets of nodes (2 ** MASK_NODES numbers in a task).
+MASK_NODES = 26
 
 
 def _mark(links: DataFrame) -> tuple:
@@ -375,6 +377,53 @@ def _few_nodes_closeness(edges: DataFrame) -> DataFrame | None:
     return edges.sparkSession.createDataFrame(rows, "node string, closeness double")
 
 
+def _mask_closeness(edges: DataFrame) -> DataFrame | None:
+    """Closeness of edges in the line graph of common nodes, for few nodes and any number of edges; None if there are more than ``MASK_NODES`` nodes.
+
+    What is reached from an edge within k + 1 hops are the edges that meet the nodes within k hops of it: all but
+    those inside the rest of the nodes. A table of all sets of nodes, summed up over the subsets, has their
+    number, so an edge needs one look per hop and no two edges are compared.
+    """
+    found = _node_hops(edges, MASK_NODES)
+    if found is None:
+        return None
+    names, hops = found
+    full = (1 << len(names)) - 1
+    near = [sum(1 << int(j) for j in np.flatnonzero(row <= 1)) for row in hops]
+    bits = F.create_map(*[F.lit(x) for k, name in enumerate(names) for x in (name, 1 << k)])
+    masked = cut(edges.select("edge_id", F.aggregate("nodes", F.lit(0).cast("bigint"), lambda m, x: m.bitwiseOR(F.element_at(bits, x).cast("bigint"))).alias("mask")))
+    held = masked.groupBy("mask").agg(F.count("*").alias("n")).toArrow()  # at most 2 ** MASK_NODES sets
+    masks, counts = (held.column(c).to_numpy() for c in ("mask", "n"))
+    n = int(counts.sum())
+    shared = edges.sparkSession.sparkContext.broadcast((masks, counts.astype(np.int32 if n < 1 << 31 else np.int64)))
+    kind = edges.schema["edge_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        inside = None
+        for batch in batches:
+            if inside is None:
+                masks, counts = shared.value
+                inside = np.zeros(1 << len(names), dtype=counts.dtype)
+                inside[masks] = counts
+                for k in range(len(names)):
+                    halves = inside.reshape(-1, 2, 1 << k)
+                    halves[:, 1] += halves[:, 0]
+            ball = batch.column(1).to_numpy()
+            seen, total, k = np.ones(len(ball), dtype=np.int64), np.zeros(len(ball)), 0
+            while True:
+                k += 1
+                now = np.maximum(n - inside[full & ~ball].astype(np.int64), seen)
+                if (now == seen).all():
+                    break
+                total, seen = total + k * (now - seen), now
+                ball = np.bitwise_or.reduce([np.where(ball >> j & 1, near[j], 0) for j in range(len(names))])
+            reached = seen - 1.0
+            score = np.divide(reached * reached, total * max(1, n - 1), out=np.zeros(len(ball)), where=total > 0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score)], names=["edge_id", "closeness"])
+
+    return masked.mapInArrow(run, f"edge_id {kind}, closeness double")
+
+
 def edge_path_scores(edges: DataFrame, measure: str, *, s: float = 1) -> DataFrame:
     """``edge_id`` and its closeness or betweenness in the line graph of overlaps of at least ``s``.
 
@@ -382,6 +431,8 @@ def edge_path_scores(edges: DataFrame, measure: str, *, s: float = 1) -> DataFra
     """
     from polyad.operators.projections import line_graph
 
+    if s == 1 and measure == "closeness" and edges.count() > OVERLAP_EDGES and (few := _mask_closeness(edges)) is not None:
+        return few
     found = _incidence(edges) if measure in ("closeness", "betweenness") and s >= 1 else None
     if found is not None:
         if (s == 1 and measure == "closeness") or len(found[0]) <= OVERLAP_EDGES:
