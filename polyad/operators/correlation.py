@@ -118,13 +118,38 @@ def edge_distances(edges: DataFrame, *, max_hops: int | None = None) -> DataFram
     return found
 
 
-def event_distances(events: DataFrame, distances: DataFrame, delays: list[int], *, size: int | None = None, other_size: int | None = None) -> DataFrame:
-    """``delay``, ``distance``, ``n``: histogram of the distances of pairs of events less than ``delay`` apart, nested in the delays.
+def pair_distances(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``edge_a``, ``edge_b``, ``distance`` as in ``edge_distances``, for the given pairs of edges alone.
 
-    ``events`` has ``time``, ``edge_id``, ``size``; pairs are (earlier or simultaneous, later), each once,
-    of one size, or of ``size`` and ``other_size``. The interval join is on blocks of time as long as the
-    largest delay, so an event meets only its own block and the next.
+    Both ends spread by turns from nodes to their edges and on to the edges' nodes, until they meet halfway. Only
+    ends of pairs that haven't met spread; a pair whose end has reached its whole component never will.
     """
+    held = cut(edges.select("edge_id", F.explode("nodes").alias("node")))
+    waiting = cut(pairs.select("edge_a", "edge_b").where("edge_a != edge_b").distinct())
+    ends = lambda: waiting.select(F.explode(F.array("edge_a", "edge_b")).alias("end")).distinct()
+    ball = cut(held.join(ends().withColumnRenamed("end", "edge_id"), "edge_id").select(F.col("edge_id").alias("end"), F.col("node").alias("x")))
+    found, distance, sizes = None, 0, [ball.groupBy("end").agg(F.count("*").alias("n"))]
+    while True:
+        distance += 1
+        a, b = (ball.select(F.col("end").alias(f"edge_{x}"), "x") for x in "ab")
+        met = cut(waiting.join(a, "edge_a").join(b, ["edge_b", "x"]).select("edge_a", "edge_b").distinct().withColumn("distance", F.lit(distance)))
+        found = met if found is None else found.unionByName(met)
+        waiting = waiting.join(met, ["edge_a", "edge_b"], "left_anti")
+        if distance > 2:
+            still = sizes[-1].join(sizes[-3], ["end", "n"]).select("end")
+            for x in "ab":
+                waiting = waiting.join(still.withColumnRenamed("end", f"edge_{x}"), f"edge_{x}", "left_anti")
+        waiting = cut(waiting.select("edge_a", "edge_b"))
+        if waiting.isEmpty():
+            return found
+        ball = ball.join(ends(), "end", "left_semi")
+        steps = held.select(F.col("node").alias("x"), F.col("edge_id").alias("to")) if distance % 2 else held.select(F.col("edge_id").alias("x"), F.col("node").alias("to"))
+        ball = cut(ball.join(steps, "x").select("end", F.col("to").alias("x")).distinct())
+        sizes.append(cut(ball.groupBy("end").agg(F.count("*").alias("n"))))
+
+
+def _near_events(events: DataFrame, delays: list[int], size: int | None, other_size: int | None) -> DataFrame:
+    """Pairs of events less than the largest delay apart; ``event_distances`` says which."""
     if not delays or min(delays) < 1:
         raise InvalidParameterError("delays must be at least 1")
     span = max(delays)
@@ -135,8 +160,22 @@ def event_distances(events: DataFrame, distances: DataFrame, delays: list[int],
     b = second.select(F.col("event").alias("event_b"), F.col("edge_id").alias("edge_b"), F.col("time").alias("u"), F.col("size").alias("size_b"), F.expr(f"time div {span}").alias("block"))
     near = a.join(b, "block").where(f"u >= t AND u - t < {span}")
     near = near.where("(u > t OR event_a < event_b)") if other_size is None else near
-    if size is None and other_size is None:
-        near = near.where("size_a = size_b")
+    return near.where("size_a = size_b") if size is None and other_size is None else near
+
+
+def near_pairs(events: DataFrame, delays: list[int], *, size: int | None = None, other_size: int | None = None) -> DataFrame:
+    """``edge_a``, ``edge_b``: the different edges whose distances ``event_distances`` looks up."""
+    return _near_events(events, delays, size, other_size).select("edge_a", "edge_b").where("edge_a != edge_b").distinct()
+
+
+def event_distances(events: DataFrame, distances: DataFrame, delays: list[int], *, size: int | None = None, other_size: int | None = None) -> DataFrame:
+    """``delay``, ``distance``, ``n``: histogram of the distances of pairs of events less than ``delay`` apart, nested in the delays.
+
+    ``events`` has ``time``, ``edge_id``, ``size``; pairs are (earlier or simultaneous, later), each once,
+    of one size, or of ``size`` and ``other_size``. The interval join is on blocks of time as long as the
+    largest delay, so an event meets only its own block and the next.
+    """
+    near = _near_events(events, delays, size, other_size)
     apart = near.join(distances, ["edge_a", "edge_b"], "left").withColumn("distance", F.when(F.col("edge_a") == F.col("edge_b"), F.lit(0)).otherwise(F.col("distance"))).where("distance IS NOT NULL")
     wanted = F.explode(F.filter(F.array(*[F.lit(d) for d in sorted(delays)]), lambda d: d > F.col("u") - F.col("t")))
     return apart.select(wanted.alias("delay"), "distance").groupBy("delay", "distance").agg(F.count("*").alias("n"))

@@ -382,7 +382,8 @@ def event_distances(spark: SparkSession, folder: str) -> DataFrame:
     events = cut(G.hours(spark, folder))
     edges = cut(E.to_undirected(events))
     placed = events.select("time", "nodes", "size").join(edges.select("edge_id", "nodes"), "nodes")
-    return R.event_distances(placed.select("time", "edge_id", "size"), R.edge_distances(edges), [2, 8, 24])
+    placed = cut(placed.select("time", "edge_id", "size"))
+    return R.event_distances(placed, R.pair_distances(edges, R.near_pairs(placed, [2, 8, 24])), [2, 8, 24])
 
 
 # -- models
