@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -69,16 +70,18 @@ def _until_stable(first: DataFrame, step, norm: str, tol: float, max_iter: int)
 def _until_stable_held(edges: DataFrame, held: tuple, first: DataFrame, step: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], norm: str, tol: float, max_iter: int) -> DataFrame:
     """The same rounds on arrays."""
     names, edge, node, _ = held
-    start = {r.node: r.x for r in first.collect()}  # as many as the bounded incidences have nodes
+    table = first.toArrow()  # as many as the bounded incidences have nodes
+    start = np.asarray(table.column("x"))[np.argsort(np.asarray(table.column("node")), kind="stable")]  # in the order of the names
     scale = (lambda x: x / np.sqrt((x * x).sum())) if norm == "l2" else (lambda x: x / np.abs(x).sum())
-    x = scale(np.array([start[n] for n in names]))
+    x = scale(start)
     for _ in range(max_iter):
         new = scale(step(x, edge, node))
         gap, x = np.sqrt(((new - x) ** 2).sum()), new
         if gap < tol:
             break
     kind = edges.schema["nodes"].dataType.elementType.simpleString()
-    return edges.sparkSession.createDataFrame(list(zip(names, x.tolist())), f"node {kind}, centrality double")
+    found = edges.sparkSession.createDataFrame(pa.table({"node": names, "centrality": x}))
+    return found.select(F.col("node").cast(kind).alias("node"), "centrality")
 
 
 def clique_centrality(edges: DataFrame, *, tol: float = 1e-7, max_iter: int = 1000, seed: int | None = None) -> DataFrame:
@@ -110,19 +113,30 @@ def _tensor_step(held: DataFrame, power: float):
     return step
 
 
-def _tensor_on_arrays(power: float):
+def _tensor_on_arrays(node: np.ndarray, size: int, power: float):
+    """The same on arrays, by products of the values before and after each: edges of one size are the rows of a table."""
+    columns = [np.ascontiguousarray(c) for c in node.reshape(-1, size).T]
+
     def step(x: np.ndarray, edge: np.ndarray, node: np.ndarray) -> np.ndarray:
-        logs = np.log(np.maximum(x, TINY))[node]
-        return np.bincount(node, np.exp(np.bincount(edge, logs)[edge] - logs), len(x)) ** power
+        raised = np.maximum(x, TINY)
+        values = [raised[c] for c in columns]
+        before = [np.ones(len(values[0]))]
+        for v in values[:-1]:
+            before.append(before[-1] * v)
+        after, out = np.ones(len(values[0])), np.zeros(len(x))
+        for column, v, b in zip(reversed(columns), reversed(values), reversed(before)):
+            out += np.bincount(column, b * after, len(x))
+            after = after * v
+        return out if power == 1 else out**power
 
     return step
 
 
 def z_centrality(edges: DataFrame, *, tol: float = 1e-7, max_iter: int = 1000, seed: int | None = None) -> DataFrame:
     """``node``, ``centrality``: Z-eigenvector of the adjacency tensor, summing to 1."""
-    _check_uniform(edges)
+    size = _check_uniform(edges)
     if held := held_incidences(edges, HELD_INCIDENCES):
-        return _until_stable_held(edges, held, _start(edges, seed), _tensor_on_arrays(1.0), "l1", tol, max_iter)
+        return _until_stable_held(edges, held, _start(edges, seed), _tensor_on_arrays(held[2], size, 1.0), "l1", tol, max_iter)
     held = cut(edges.select("edge_id", F.explode("nodes").alias("node")))
     return _until_stable(_start(edges, seed), _tensor_step(held, 1.0), "l1", tol, max_iter).withColumnRenamed("x", "centrality")
 
@@ -131,7 +145,7 @@ def h_centrality(edges: DataFrame, *, tol: float = 1e-6, max_iter: int = 100, se
     """``node``, ``centrality``: H-eigenvector of the adjacency tensor, summing to 1."""
     size = _check_uniform(edges)
     if held := held_incidences(edges, HELD_INCIDENCES):
-        return _until_stable_held(edges, held, _start(edges, seed), _tensor_on_arrays(1.0 / (size - 1)), "l1", tol, max_iter)
+        return _until_stable_held(edges, held, _start(edges, seed), _tensor_on_arrays(held[2], size, 1.0 / (size - 1)), "l1", tol, max_iter)
     held = cut(edges.select("edge_id", F.explode("nodes").alias("node")))
     return _until_stable(_start(edges, seed), _tensor_step(held, 1.0 / (size - 1)), "l1", tol, max_iter).withColumnRenamed("x", "centrality")
 
