@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from fractions import Fraction
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from polyad.errors import InvalidParameterError
+from polyad.operators.centrality import HELD_INCIDENCES
 from polyad.operators.matrices import temporal_adjacency
 from polyad.runtime import cut
 
@@ -63,6 +67,93 @@ def correlation_table(edges: DataFrame, max_order: int, taus: list[int], *, n_ti
     if not all(0 <= tau < t for tau in taus):
         raise InvalidParameterError("tau must lie between 0 and the number of times - 1")
     used = edges.where(F.col("size").between(2, max_order + 1))
+    held, spark = _held_times(used), edges.sparkSession
+    if held is not None:
+        known = cut(_overlap_values(spark, held, taus, t).where("correlation != 0"))
+    else:
+        rows = [(a, b, tau, _scaled(v, a, b, t - tau)) for (a, b, tau), v in _entry_sums(used, taus, t).items()]
+        known = spark.createDataFrame(rows, "order_a int, order_b int, tau int, correlation double")
+    orders = spark.range(1, max_order + 1).select(F.col("id").cast("int").alias("order_a"))
+    every = orders.crossJoin(orders.withColumnRenamed("order_a", "order_b")).crossJoin(spark.createDataFrame([(tau,) for tau in taus], "tau int"))  # as many rows as the result has
+    return every.join(known, ["order_a", "order_b", "tau"], "left").select("order_a", "order_b", "tau", F.coalesce("correlation", F.lit(0.0)).alias("correlation"))
+
+
+def _scaled(value: Fraction | float, a: int, b: int, times: int) -> float:
+    """value / (a! b! times), as a fraction, for factorials of large orders are beyond a float; 0 where it is far below the least one."""
+    value = Fraction(value)
+    if not value:
+        return 0.0
+    log = math.log(abs(value.numerator)) - math.log(value.denominator) - math.lgamma(a + 1) - math.lgamma(b + 1) - math.log(times)
+    if log < -800:
+        return math.copysign(0.0, value)
+    return float(value / (math.factorial(a) * math.factorial(b) * times))
+
+
+def _held_times(used: DataFrame) -> tuple | None:
+    """The incidences of ``used`` and every edge's time and order; None beyond ``HELD_INCIDENCES``."""
+    if (used.agg(F.sum(F.size("nodes"))).first()[0] or 0) > HELD_INCIDENCES:
+        return None
+    rows = used.select("time", (F.col("size") - 1).cast("bigint").alias("order"), "nodes").toArrow()
+    lists = rows.column("nodes").combine_chunks()
+    if not len(rows):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(0, np.int32), 0
+    names, node = np.unique(lists.flatten().to_numpy(zero_copy_only=False), return_inverse=True)
+    starts = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())]).astype(np.int64)
+    return rows.column("time").to_numpy(), rows.column("order").to_numpy(), starts, node.astype(np.int32), len(names)
+
+
+def _overlap_values(spark: SparkSession, held: tuple, taus: list[int], t: int) -> DataFrame:
+    """The correlations of the orders that edges have, from exact sums over the numbers of common nodes of the edges.
+
+    Two edges with m nodes in common have m (m - 1) entries in common, so no entry is made: a task counts the
+    common nodes of its edges with all edges by the lists of the nodes' edges.
+    """
+    time, order, starts, node, n_nodes = held
+    n, schema = len(time), "order_a int, order_b int, tau int, correlation double"
+    if not n:
+        return spark.createDataFrame([], schema)
+    kinds, kind = np.unique(order, return_inverse=True)
+    edge = np.repeat(np.arange(n, dtype=np.int32), np.diff(starts))[np.argsort(node, kind="stable")]
+    firsts = np.concatenate([[0], np.cumsum(np.bincount(node, minlength=n_nodes))])
+    shared = spark.sparkContext.broadcast((time, kind, starts, node, edge, firsts))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        time, kind, starts, node, edge, firsts = shared.value
+        # per order and tau: entries of edges tau apart, with the first among the first times, with the second among the last, and all
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for e in batch.column(0).to_numpy():
+                own = node[starts[e] : starts[e + 1]]
+                counts = firsts[own + 1] - firsts[own]
+                at = np.repeat(firsts[own] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+                m = np.bincount(edge[at], minlength=len(time))
+                others = np.flatnonzero(m > 1)
+                both, to = m[others] * (m[others] - 1), kind[others]
+                row = sums.setdefault(int(kind[e]), np.zeros((len(taus), 4, len(kinds)), dtype=np.int64))
+                for j, tau in enumerate(taus):
+                    for c, seen in enumerate((time[others] == time[e] + tau, np.full(len(others), time[e] < t - tau), time[others] >= tau, np.ones(len(others), bool))):
+                        row[j, c] += np.bincount(to[seen], both[seen], len(kinds)).astype(np.int64)
+        for k, row in sums.items():
+            j, c, to = np.nonzero(row)
+            yield pa.RecordBatch.from_pydict({"j": j, "c": c, "cell": k * len(kinds) + to, "v": row[j, c, to]})
+
+    parts = spark.range(n, numPartitions=min(n, 64)).mapInArrow(run, "j bigint, c bigint, cell bigint, v bigint").groupBy("j", "cell").pivot("c", [0, 1, 2, 3]).sum("v")
+
+    def scale(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for j, cell, *sums in zip(*(c.to_pylist() for c in batch.columns)):
+                (a, b), tau = divmod(cell, len(kinds)), taus[j]
+                met, first, last, whole = (x or 0 for x in sums)
+                value = met - Fraction(first + last, t) + Fraction((t - tau) * whole, t * t)
+                rows.append((int(kinds[a]), int(kinds[b]), tau, _scaled(value, int(kinds[a]), int(kinds[b]), t - tau)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int32(), pa.int32(), pa.int32(), pa.float64()))], names=["order_a", "order_b", "tau", "correlation"])
+
+    return parts.select("j", "cell", "0", "1", "2", "3").mapInArrow(scale, schema)
+
+
+def _entry_sums(used: DataFrame, taus: list[int], t: int) -> dict[tuple[int, int, int], float]:
+    """The same sums by joins of the entries, for any number of incidences."""
     pairs = used.select("time", (F.col("size") - 1).alias("order"), "nodes", F.explode("nodes").alias("row")).select("time", "order", "row", F.explode("nodes").alias("col")).where("row != col")
     entries = cut(pairs.groupBy("order", "time", "row", "col").agg(F.count("*").cast("double").alias("val")))
     orders = ["order_a", "order_b"]
@@ -77,9 +168,7 @@ def correlation_table(edges: DataFrame, max_order: int, taus: list[int], *, n_ti
         rest = both.groupBy(*orders).agg(F.sum(-F.col("sa") * F.col("mb") - F.col("ma") * F.col("sb") + (t - tau) * F.col("ma") * F.col("mb")).alias("v"))
         for r in met.unionByName(rest).groupBy(*orders).agg(F.sum("v").alias("v")).collect():  # a row per pair of orders
             value[r.order_a, r.order_b, tau] = r.v
-    # a fraction, for factorials of large orders are beyond a float
-    rows = [(a, b, tau, float(Fraction(value.get((a, b, tau), 0.0)) / (math.factorial(a) * math.factorial(b) * (t - tau)))) for a in range(1, max_order + 1) for b in range(1, max_order + 1) for tau in taus]
-    return edges.sparkSession.createDataFrame(rows, "order_a int, order_b int, tau int, correlation double")
+    return value
 
 
 def correlation_matrix(edges: DataFrame, order_a: int, order_b: int, tau: int, *, n_times: int | None = None) -> DataFrame:
